@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import exact, mixing
+from talkloom.llm import decontamination, exact, mixing, tokens
+from talkloom.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, path, with_ids=False)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("words"))
     mixed = mixing.mix(docs, size=F.col("words"))
@@ -24,9 +39,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_tokens": op1_tokens, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op8_exact_dedup": op8_exact_dedup}
+
+FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = f"regexp_extract_all({FOLD_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+        b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+        pat AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS p
+                FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT m FROM pat),
+        win AS (SELECT r, m, i, array_to_string(w[i : i + m - 1], ' ') AS p FROM d, lens, unnest(range(1, len(w) - m + 2)) AS u(i)),
+        occ AS (SELECT r, i, win.m, item_id FROM win JOIN pat USING (m, p)),
+        hit AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM occ, unnest(range(0, m)) AS u(o) GROUP BY r),
+        it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM occ GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
