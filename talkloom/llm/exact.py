@@ -7,16 +7,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from talkloom.llm.common import body, cut, partitions_for
 
 #: Rows that one salt of one text may gather on average if all rows held the same text.
-ROWS_PER_SALT = 50_000
+ROWS_PER_SALT = 2_000
+#: Leading bytes of a content in the splitters; what the driver samples has a fixed size per row.
+HEAD_BYTES = 32
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, keep: str = "smallest") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Sampled splitters range-partition (bytes, salt); an external sort then places equal contents next
-    to each other and the window closes a run where the full content of two neighbours differs.  The
-    salt, taken from the identifier, spreads one content over as many runs as the number of rows asks
-    for; runs of one content meet again as slim rows under its SHA-256.
+    Sampled splitters range-partition by leading bytes, content hash and salt; an external sort then
+    places equal contents next to each other and the window closes a run where the full content of two
+    neighbours differs.  The salt, taken from the identifier, spreads one content over as many runs as
+    the number of rows asks for; runs of one content meet again as slim rows under its SHA-256.
 
     Null texts count as empty; the empty text is a text like others.  Null identifiers sort before all
     others under "smallest" never winning, under "largest" likewise, so a group of null identifiers
@@ -27,9 +29,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = body(text_col) if normalise is None else normalise
     rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(text, "UTF-8").alias("content"))
     salts = max(1, docs.select(id_col).count() // ROWS_PER_SALT)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    placed = salted.repartitionByRange(partitions_for(docs), "content", "salt")
-    run = W.partitionBy("content", "salt").orderBy(first("doc_id"))
+    place = ["head", "mark", "salt"]
+    keyed = rows.withColumns({"head": F.substring("content", 1, HEAD_BYTES), "mark": F.xxhash64("content"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts))})
+    placed = keyed.repartitionByRange(partitions_for(docs), *place)
+    run = W.partitionBy(*place, "content").orderBy(first("doc_id"))
     slim = placed.select("doc_id", "salt", (F.row_number().over(run) == 1).alias("leads"), F.sha2("content", 256).alias("sha"))
     slim = cut(slim, "exact-sorted")
     runs = slim.groupBy("sha", "salt").agg(F.max(F.when(F.col("leads"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("n"))
