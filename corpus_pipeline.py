@@ -1,19 +1,63 @@
-"""The corpus pipeline: stages in order, each reading what its predecessor kept."""
+"""The corpus pipeline: stages in order, each working on what its predecessor kept."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm.common import cut
+from talkloom.llm import decontamination, mixing, near, quality, tokens
+from talkloom.llm.common import cut, shared_dir
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier rejects go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near.near_deduplicated(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written in the file format; the rows are read back from the files."""
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
+    tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, path, with_ids=False)
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near-duplicates", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+    ("token-id output", token_stage),
+]
 
-#: The stages hash, fit and encode, which SQL cannot express; tests compare them with brute force.
+#: The stages fit, hash and encode, which SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, each stage's result written as Parquet and read as the next one's documents."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

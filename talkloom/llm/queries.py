@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import decontamination, exact, mixing, near, quality, tokens
+from talkloom.llm import credentials, decontamination, exact, mixing, near, pii, quality, tokens
 from talkloom.llm.common import shared_dir
 
 
@@ -26,6 +26,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_report(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secrets_report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("words"))
     mixed = mixing.mix(docs, size=F.col("words"))
@@ -47,7 +55,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_tokens": op1_tokens, "op2_pii": op2_pii, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup, "op9_secrets": op9_secrets}
 
 FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS_SQL = f"regexp_extract_all({FOLD_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
