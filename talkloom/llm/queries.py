@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import credentials, decontamination, exact, mixing, near, pii, quality, tokens
+from talkloom.llm import credentials, decontamination, exact, mixing, near, pii, quality, suffixes, tokens
 from talkloom.llm.common import shared_dir
 
 
@@ -51,11 +51,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_pii": op2_pii, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_quality": op6_quality, "op8_exact_dedup": op8_exact_dedup, "op9_secrets": op9_secrets}
+QUERIES = {"op1_tokens": op1_tokens, "op2_pii": op2_pii, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_quality": op6_quality, "op7_suffixes": op7_suffixes, "op8_exact_dedup": op8_exact_dedup, "op9_secrets": op9_secrets}
 
 FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS_SQL = f"regexp_extract_all({FOLD_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
