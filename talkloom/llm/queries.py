@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkloom.llm import credentials, decontamination, exact, mixing, near, pii, quality, suffixes, tokens
+from talkloom.llm import credentials, decontamination, exact, mixing, near, paragraphs, pii, quality, suffixes, tokens
 from talkloom.llm.common import shared_dir
 
 
@@ -59,7 +59,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_pii": op2_pii, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_quality": op6_quality, "op7_suffixes": op7_suffixes, "op8_exact_dedup": op8_exact_dedup, "op9_secrets": op9_secrets}
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
+    return found.withColumn("spans", spans)
+
+
+QUERIES = {"op1_tokens": op1_tokens, "op2_pii": op2_pii, "op4_decontamination": op4_decontamination, "op3_mixing": op3_mixing, "op5_near_dedup": op5_near_dedup, "op6_quality": op6_quality, "op7_suffixes": op7_suffixes, "op8_exact_dedup": op8_exact_dedup, "op9_secrets": op9_secrets, "op10_paragraphs": op10_paragraphs}
 
 FOLD_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS_SQL = f"regexp_extract_all({FOLD_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -6,12 +6,13 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from talkloom.llm.common import body, cut, drop_table
+from talkloom.llm.common import body, cut
 from talkloom.llm.shingles import mixed
 
 LENGTH = 400
@@ -194,19 +195,31 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text"))
     slim = cut(rows.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "suffix-rows")
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
+    with block_table(rows.where(F.octet_length("text") >= LENGTH), total) as texts:
+        return cut(_repeated_in(texts, total, slim), "suffix-result")
+
+
+@contextmanager
+def block_table(rows: DataFrame, total: int) -> Iterator[DataFrame]:
+    """Distinct texts (sha, text, copies, first_id) as a table bucketed by block, gone afterwards.
+
+    Copies meet before the shuffle, so a text that a third of the rows hold is one row per task.
+    """
+    spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = min(50_000, max(least, math.ceil(total / BLOCK_BYTES)))
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    distinct = rows.where(F.octet_length("text") >= LENGTH).groupBy(F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    name = f"blocks_{uuid.uuid4().hex}"
+    each = rows.groupBy(F.sha2("text", 256).alias("sha"))
+    distinct = each.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("sha"), F.lit(blocks)))
     placed.repartition(blocks, "block").write.bucketBy(blocks, "block").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
-    out = _repeated_in(texts, name, total, slim)
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
-def _repeated_in(texts: DataFrame, name: str, total: int, slim: DataFrame) -> DataFrame:
+def _repeated_in(texts: DataFrame, total: int, slim: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(total * len(COVER) / PERIOD / BUCKET_ROWS))
@@ -262,10 +275,7 @@ def _repeated_in(texts: DataFrame, name: str, total: int, slim: DataFrame) -> Da
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     removed = removed.select("sha", spans.alias("spans"), "kept")
     lost = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]), F.lit(0))
-    return cut(
-        slim.join(removed, "sha", "left").select(
-            "doc_id", "n_bytes", lost.cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-            F.coalesce("kept", "sha").alias("kept_sha256"), "spans",
-        ),
-        "suffix-result",
+    return slim.join(removed, "sha", "left").select(
+        "doc_id", "n_bytes", lost.cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept", "sha").alias("kept_sha256"), "spans",
     )
