@@ -1,4 +1,7 @@
 """All registered queries outside the corpus operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from talkloom.plans import conversations, logs, retrieval
+
+MODULES = [retrieval, conversations, logs]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
