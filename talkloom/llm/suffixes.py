@@ -124,7 +124,7 @@ def fragments(block: int, hashes: list[np.ndarray], buckets: int) -> pa.RecordBa
     order = np.argsort(home, kind="stable")
     values, times, home = values[order], times[order], home[order]
     names, first = np.unique(home, return_index=True)
-    ends = [*first[1:], len(home)]
+    ends = [*first[1:], len(home)][: len(first)]
     rows = [(int(b), block, values[i:j].tobytes(), (times[i:j] > 1).astype(np.uint8).tobytes()) for b, i, j in zip(names, first, ends, strict=True)]
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "again"])
