@@ -27,11 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Shuffle files go when the job that wrote a table is done; until then a lost executor's part is made again from them.
+CLEAN = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, **CLEAN):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +49,22 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """cut() for tables that only the block reads: they go at its end, so its result must be written inside."""
+    tables: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        tables.append(cut(df, name))
+        return tables[-1]
+
+    try:
+        yield put
+    finally:
+        for made in tables:
+            drop_table(made)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings for the jobs started inside; names use __ for dots."""

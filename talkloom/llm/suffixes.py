@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from talkloom.llm.common import body, cut
+from talkloom.llm.common import CLEAN, body, cut, settings
 from talkloom.llm.shingles import mixed
 
 LENGTH = 400
@@ -22,7 +22,7 @@ PERIOD = ORDER * ORDER + ORDER + 1
 #: Bytes of the sample suffixes that are ranked: what is left of LENGTH after the largest shift.
 TAIL = LENGTH - PERIOD + 1
 #: Text bytes of a block of documents, and ranked suffixes of a suffix bucket.
-BLOCK_BYTES, BUCKET_ROWS = 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ROWS = 8 << 20, 1 << 20
 #: Groups of suffix buckets that are sorted one after another.
 ROUNDS = 2
 SEGMENT = 1 << 20
@@ -212,7 +212,8 @@ def block_table(rows: DataFrame, total: int) -> Iterator[DataFrame]:
     each = rows.groupBy(F.sha2("text", 256).alias("sha"))
     distinct = each.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("sha"), F.lit(blocks)))
-    placed.repartition(blocks, "block").write.bucketBy(blocks, "block").format("parquet").saveAsTable(name)
+    with settings(spark, **CLEAN):
+        placed.repartition(blocks, "block").write.bucketBy(blocks, "block").format("parquet").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
