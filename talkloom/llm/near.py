@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm import shingles
-from talkloom.llm.common import body, components, cut, drop_table
+from talkloom.llm.common import body, components, cut, drop_table, scratch
 
 #: Sorted orders (trees), signature values that a candidate pair shares at least, and values per signature.
 TREES, DEPTH = 32, 4
@@ -143,10 +143,10 @@ def candidates(nodes: DataFrame, trees: int, far: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
-def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame, id_col: str, text_col: str, put=cut) -> DataFrame:
     """The pairs confirmed on the full sets of their documents, read again from the texts."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = cut(found.select("key", "rep_id", "rep_mark").join(ends, "key"), "near-wanted")
+    wanted = put(found.select("key", "rep_id", "rep_mark").join(ends, "key"), "near-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
     rows = rows.join(wanted, (F.xxhash64("text") == F.col("rep_mark")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("key", "text")
@@ -156,7 +156,7 @@ def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame, id_col: str, tex
             values = [shingles.shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["key", "values"])
 
-    sets = cut(rows.mapInArrow(shingle, "key binary, values binary").dropDuplicates(["key"]), "near-sets")
+    sets = put(rows.mapInArrow(shingle, "key binary, values binary").dropDuplicates(["key"]), "near-sets")
     return shingles.confirmed(pairs, sets)
 
 
@@ -178,21 +178,28 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows that repeat an identifier or text share a class.  An empty table gives an empty table.  Other
     columns are not looked at.
     """
-    signed = cut(signatures(docs, id_col, text_col), "near-signed")
-    found = cut(classes(signed), "near-classes")
+    with scratch() as put:
+        return cut(_components(docs, id_col, text_col, put), "near-result")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, put) -> DataFrame:
+    signed = put(signatures(docs, id_col, text_col), "near-signed")
+    found = put(classes(signed), "near-classes")
     alone = found.withColumn("part", F.xxhash64("key"))
-    first = cut(candidates(alone, FIRST_TREES, 1), "near-first")
-    links = cut(linked(docs, found, first, id_col, text_col), "near-links")
+    first = put(candidates(alone, FIRST_TREES, 1), "near-first")
+    links = put(linked(docs, found, first, id_col, text_col, put), "near-links")
     labels = components(links)
     parts = found.join(labels, found["key"] == labels["node"], "left").select("key", "sig", F.xxhash64(F.coalesce("root", "key")).alias("part"))
-    second = cut(candidates(parts, TREES, 2), "near-second")
-    more = cut(linked(docs, found, second, id_col, text_col), "near-more")
+    second = put(candidates(parts, TREES, 2), "near-second")
+    more = put(linked(docs, found, second, id_col, text_col, put), "near-more")
     drop_table(labels)
-    labels = components(links.union(more))
+    labels = put(components(links.union(more)), "near-labels")
     named = labels.join(found.select(F.col("key").alias("node"), "rep_id"), "node")
     smallest = named.groupBy("root").agg(F.min("rep_id").alias("cid"))
     of_class = named.join(smallest, "root").select(F.col("node").alias("key"), "cid")
     of_class = found.select("key", "rep_id").join(of_class, "key", "left").select("key", F.coalesce("cid", "rep_id").alias("cid"))
+    # a written table on either side lets Spark split the join where one class has many documents
+    of_class = put(of_class, "near-classed")
     with_class = signed.select("doc_id", "mark", "n_shingles", "key").join(of_class, "key", "left")
     return with_class.select("doc_id", "mark", "n_shingles", F.coalesce("cid", "doc_id").alias("component_id"))
 

@@ -21,7 +21,7 @@ DICTIONARY_BYTES = 64 << 10
 #: A segment (one row of the file format) closes once its frames reach so many bytes.
 SEGMENT_BYTES = 1 << 20
 #: Words whose ids a worker remembers before it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 
 SEGMENT = (
     "shard int, segment int, dictionary_sha256 string, first_id long, last_id long, start long, n_tokens long, "
@@ -50,21 +50,20 @@ class Encoder:
         self.model, self.bytes_of = self.whole.model, self.whole.pre_tokenizer
         self.width = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        return b"".join([i.to_bytes(self.width.itemsize, "little") for i in ids])
 
-    def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            as_chars = text if text.isascii() else "".join(p for p, _ in self.bytes_of.pre_tokenize_str(text))
-            ids = self.pieces[text] = [t.id for t in self.model.tokenize(as_chars)]
+    def piece(self, text: str) -> bytes:
+        as_chars = text if text.isascii() else "".join([p for p, _ in self.bytes_of.pre_tokenize_str(text)])
+        ids = self.pieces[text] = self.packed([t.id for t in self.model.tokenize(as_chars)])
         return ids
 
     def word(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return self.packed([i for p in PIECE.findall(text.lower()) for i in self.piece(p)])
+            known = self.pieces
+            return b"".join([known.get(p) or self.piece(p) for p in PIECE.findall(text.lower())])
         return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
 
     def text(self, text: str) -> bytes:
