@@ -14,8 +14,12 @@ from talkloom.llm.common import body, components, cut, scratch
 
 #: A pair of similarity 0.75 meets in no band with probability (1 - 0.75 ** 2) ** 6 = 0.7 %; a passage has several paragraphs.
 BANDS, ROWS = 6, 2
-#: A paragraph ends with the first sentence that brings it to MIN_WORDS words, or at MAX_WORDS words.
+#: A paragraph ends at the first sentence or cut that brings it to MIN_WORDS words; cuts are near enough that it has at most MAX_WORDS.
 MIN_WORDS, MAX_WORDS = 16, 64
+#: Words between two cuts at most: before them lie less than MIN_WORDS words of a paragraph, at the text's end behind them too.
+STRETCH = MAX_WORDS // 2
+#: Starts lie at least so many words apart; then paragraphs of one text that drift from word to word are never alike (LIKE).
+APART = 4
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 ENDS = np.zeros(256, bool)
@@ -36,22 +40,57 @@ def words_in(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return start, end, shingles.word_hashes(raw.lower().split()), closes
 
 
+def lowest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of sorted places `at`, those with the smallest hash among the places less than APART words away, the first of equals."""
+    keep = np.ones(len(at), bool)
+    for o in range(1, APART):
+        near = at[o:] - at[:-o] < APART
+        keep[:-o] &= ~near | (h[at[:-o]] <= h[at[o:]])
+        keep[o:] &= ~near | (h[at[o:]] < h[at[:-o]])
+    return at[keep]
+
+
+def cuts_in(words: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Word numbers, 0 and len(words) among them, at which paragraphs start and end, no two further apart than STRETCH.
+
+    Cuts lie behind sentence and line ends, of ends less than APART words apart at the one of smallest hash of
+    the two words that follow.  Longer stretches are cut where that hash is smallest among its neighbours, so
+    a passage has the same cuts wherever it stands; what is still too long (repeated words) is cut evenly.
+    """
+    n = len(words)
+    h = shingles.mixed(words * np.uint64(3) + np.append(words[1:], np.uint64(0)))
+    ends = np.flatnonzero(closes[:-1]) + 1
+    ends = lowest(h, ends[(ends >= APART) & (ends <= n - APART)])
+    cuts = np.concatenate([[0], ends, [n]])
+    wide = np.diff(cuts) > STRETCH
+    if wide.any():
+        at = np.arange(n)
+        inner = lowest(h, at)
+        home = np.searchsorted(cuts, inner, "right") - 1
+        inner = inner[wide[home] & (inner - cuts[home] >= APART) & (cuts[home + 1] - inner >= APART)]
+        cuts = np.union1d(cuts, inner)
+        gap = np.diff(cuts)
+        more = [cuts[i] + gap[i] * np.arange(1, -(-gap[i] // STRETCH)) // -(-gap[i] // STRETCH) for i in np.flatnonzero(gap > STRETCH)]
+        cuts = np.union1d(cuts, np.concatenate(more)) if more else cuts
+    return cuts
+
+
 def paragraphs_in(words: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraphs as [first, last) word numbers.
+    """Paragraphs as [first, last) word numbers, in which every word of a text of MIN_WORDS words lies.
 
-    They start at the text's first word and behind three of four sentence or line ends, chosen by the two
-    words that follow, so the same passage has the same paragraphs wherever it stands.  They may overlap.
+    One starts at each cut and ends at the first cut, sentence or line end MIN_WORDS words on, but not before
+    the next cut, so they may overlap; the last one runs on to the text's end.
     """
     n = len(words)
     if n < MIN_WORDS:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    begins = np.flatnonzero(closes[:-1]) + 1
-    begins = begins[begins <= n - MIN_WORDS]
-    chosen = shingles.mixed(words[begins] * np.uint64(3) + words[begins + 1]) & np.uint64(3)
-    begins = np.concatenate([[0], begins[chosen > 0]])
-    stops = np.concatenate([np.flatnonzero(closes) + 1, [n]])
-    last = stops[np.searchsorted(stops, begins + MIN_WORDS)]
-    return begins, np.minimum(last, begins + MAX_WORDS)
+    cuts = cuts_in(words, closes)
+    begins = cuts[cuts <= n - MIN_WORDS]
+    stops = np.union1d(cuts, np.flatnonzero(closes) + 1)
+    last = np.maximum(stops[np.searchsorted(stops, begins + MIN_WORDS)], cuts[1 : len(begins) + 1])
+    if last[-1] < n:
+        begins, last = np.append(begins, begins[-1]), np.append(last, n)
+    return begins, last
 
 
 class Paragraphs:
@@ -74,7 +113,9 @@ class Paragraphs:
         return np.unique(self.grams[self.first[i] : self.last[i] - shingles.SHINGLE + 1])
 
     def span(self, i: int) -> tuple[int, int]:
-        return int(self.start[self.first[i]]), int(self.end[self.last[i] - 1])
+        # up to the next word, so that nothing is left between paragraphs that follow each other
+        stop = self.last[i]
+        return int(self.start[self.first[i]]), int(self.start[stop] if stop < len(self.start) else self.end[-1])
 
 
 def _instances(texts: DataFrame, total: int, put) -> DataFrame:
@@ -138,7 +179,7 @@ def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     Paragraphs of MIN_WORDS words and more that share a band are compared on their five-word shingles;
     links at 0.75 and equal sets form components.  In each component the instance with the smallest
     (doc_id, position) stays; the others go, but for instances of the same text that overlap the first.
-    spans are the bytes that go, sources the documents that keep the passages.  Of equal texts only the
+    spans are the bytes that go, with the white space behind them, sources the documents that keep the passages.  Of equal texts only the
     smallest identifier is looked at, the others lose all their paragraphs.  Paragraphs that no other
     text comes near are left alone, also where they repeat within their own text.
 

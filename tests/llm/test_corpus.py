@@ -285,6 +285,27 @@ def test_paragraphs_find_passages(spark, awkward):
     assert paragraphs.repeated_paragraphs(awkward[1]).count() == len(awkward[0])
 
 
+def test_paragraphs_hold_every_word():
+    rng = random.Random(4)
+    for often in (0, 0.05, 1):
+        for n in (16, 65, 400):
+            for words in ([f"w{rng.randint(0, 9999)}" for _ in range(n)], ["same"] * n):
+                text = " ".join(w + ("." if rng.random() < often else "") for w in words)
+                _, _, hashes, closes = paragraphs.words_in(text.encode())
+                first, last = paragraphs.paragraphs_in(hashes, closes)
+                assert {k for i, j in zip(first, last, strict=True) for k in range(i, j)} == set(range(n))
+                assert all(paragraphs.MIN_WORDS <= j - i <= paragraphs.MAX_WORDS for i, j in zip(first, last, strict=True))
+
+
+def test_paragraphs_find_passages_without_sentences(spark):
+    rng = random.Random(12)
+    plain = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 9999)}" for _ in range(n))
+    passages = [plain(55) for _ in range(20)]
+    rows = [(100 * k + i, f"{plain(80 + 7 * i)} {passage} {plain(70)}") for k, passage in enumerate(passages) for i in range(2)]
+    got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 * k]["n_removed"] == 0 and got[100 * k + 1]["sources"] == [100 * k] for k in range(20))
+
+
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(120)]
