@@ -14,7 +14,7 @@ from talkloom.llm.common import body, components, cut, drop_table, scratch
 #: Sorted orders (trees), signature values that a candidate pair shares at least, and values per signature.
 TREES, DEPTH = 32, 4
 VALUES = TREES * DEPTH
-#: Regions of up to so many nodes are compared whole; denser ones only among longest common prefixes.
+#: Regions of up to so many nodes are compared whole; denser ones among longest common prefixes, then by rare shingles.
 REGION = 16
 #: Trees of the first round, which joins the bulk of dense regions before all trees are searched.
 FIRST_TREES = 4
@@ -118,8 +118,43 @@ def pairs_in(region: np.ndarray, place: np.ndarray, part: np.ndarray, far: int)
     return np.concatenate(left), np.concatenate(right)
 
 
+def open_in(region: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Positions of sorted leaves not compared with their whole region: those of dense regions of several parts, and of the first and last region, which may go on in another partition."""
+    first = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+    size = np.diff(np.append(first, len(region)))
+    found = (size > REGION) & (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first))
+    found[[0, -1]] = True
+    return np.flatnonzero(np.repeat(found, size))
+
+
+def meetings(whole: pa.Table, i: np.ndarray, j: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, region): pairs of keys without region, and keys that are left over with theirs."""
+    keys, region = whole.column("key").combine_chunks(), whole.column("region").combine_chunks()
+    yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.nulls(len(i), pa.int64())], names=["x", "y", "region"])
+    yield pa.RecordBatch.from_arrays([keys.take(pa.array(rest)), pa.nulls(len(rest), pa.binary()), region.take(pa.array(rest))], names=["x", "y", "region"])
+
+
+MEETINGS = "x binary, y binary, region long"
+
+
+def distinct(met: DataFrame) -> DataFrame:
+    """Distinct rows of meetings as (a, b, region), a the smaller key; b is null where a is left over in its region."""
+    pair = F.col("y").isNotNull()
+    ordered = met.select(F.when(pair, F.least("x", "y")).otherwise(F.col("x")).alias("a"), F.when(pair, F.greatest("x", "y")).alias("b"), "region")
+    return ordered.where("b is null or a <> b").distinct()
+
+
+def unsettled(met: DataFrame, labels: DataFrame, put) -> DataFrame:
+    """(key, part) of the keys left over in regions that are of several parts still."""
+    rest = met.where("b is null").select(F.col("a").alias("key"), "region")
+    placed = rest.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "region", F.xxhash64(F.coalesce("root", "key")).alias("part"))
+    placed = put(placed, "near-placed")
+    several = put(placed.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("region"), "near-several")
+    return put(placed.join(several, "region").select("key", "part").distinct(), "near-unsettled")
+
+
 def candidates(nodes: DataFrame, trees: int, far: int) -> DataFrame:
-    """Distinct pairs of keys (a, b) of other parts that are neighbours in some tree's order."""
+    """Distinct pairs of keys (a, b) of other parts that are neighbours in some tree's order; and as rows (a, null, region) the leaves left over."""
     grown = leaves(nodes, trees)
     rows = nodes.count() * trees
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_PARTITION)
@@ -132,20 +167,21 @@ def candidates(nodes: DataFrame, trees: int, far: int) -> DataFrame:
         whole = pa.Table.from_batches(got).combine_chunks()
         region, place, s1, s2, part = (whole.column(c).to_numpy() for c in ("region", "place", "s1", "s2", "part"))
         i, j = pairs_in(region, place, part, far)
-        if not len(i):
-            return
         same = 128 - sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(int) for s in (s1, s2))
         i, j = i[same >= SKETCH_BITS], j[same >= SKETCH_BITS]
-        keys = whole.column("key").combine_chunks()
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], names=["x", "y"])
+        yield from meetings(whole, i, j, open_in(region, part))
 
-    met = ordered.mapInArrow(meet, "x binary, y binary")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    return distinct(ordered.mapInArrow(meet, MEETINGS))
 
 
 def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame, id_col: str, text_col: str, put=cut) -> DataFrame:
-    """The pairs confirmed on the full sets of their documents, read again from the texts."""
+    """The pairs confirmed on the full sets of their documents."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return shingles.confirmed(pairs, sets_of(docs, found, ends, id_col, text_col, put))
+
+
+def sets_of(docs: DataFrame, found: DataFrame, ends: DataFrame, id_col: str, text_col: str, put) -> DataFrame:
+    """(key, values): the full sets of the classes asked for, read again from the texts."""
     wanted = put(found.select("key", "rep_id", "rep_mark").join(ends, "key"), "near-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("text"))
@@ -156,8 +192,7 @@ def linked(docs: DataFrame, found: DataFrame, pairs: DataFrame, id_col: str, tex
             values = [shingles.shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["key", "values"])
 
-    sets = put(rows.mapInArrow(shingle, "key binary, values binary").dropDuplicates(["key"]), "near-sets")
-    return shingles.confirmed(pairs, sets)
+    return put(rows.mapInArrow(shingle, "key binary, values binary").dropDuplicates(["key"]), "near-sets")
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,11 +202,11 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signature values; neighbours by longest common prefix are candidates, compared on their full sets,
     and confirmed links join classes to components.  A first round over a few trees joins the bulk of
     dense regions; the second round, over all trees, only meets classes that are still apart, so a
-    group of copies costs work in proportion to its size.
+    group of copies costs work in proportion to its size.  Classes of regions not compared whole that are
+    of several parts even then meet where they share rare shingles, which misses no link among them.
 
     A pair of similarity s shares no tree's prefix with probability (1 - s ** DEPTH) ** TREES, 5e-6 at
-    0.75; in regions of more than REGION classes only nearest prefixes and one representative of each
-    part meet.  Links are exact up to equal 64-bit hashes.
+    0.75.  Links are exact up to equal 64-bit hashes.
 
     Null, empty and blank texts have no shingles, are linked with nothing and form components of their
     own; component_id is the smallest identifier of the component, nulls aside, null where it has none.
@@ -186,14 +221,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str, put) -> DataFrame:
     signed = put(signatures(docs, id_col, text_col), "near-signed")
     found = put(classes(signed), "near-classes")
     alone = found.withColumn("part", F.xxhash64("key"))
-    first = put(candidates(alone, FIRST_TREES, 1), "near-first")
+    first = put(candidates(alone, FIRST_TREES, 1).where("b is not null").select("a", "b"), "near-first")
     links = put(linked(docs, found, first, id_col, text_col, put), "near-links")
     labels = components(links)
     parts = found.join(labels, found["key"] == labels["node"], "left").select("key", "sig", F.xxhash64(F.coalesce("root", "key")).alias("part"))
     second = put(candidates(parts, TREES, 2), "near-second")
-    more = put(linked(docs, found, second, id_col, text_col, put), "near-more")
+    more = put(linked(docs, found, second.where("b is not null").select("a", "b"), id_col, text_col, put), "near-more")
     drop_table(labels)
-    labels = put(components(links.union(more)), "near-labels")
+    links = links.union(more)
+    labels = put(components(links), "near-labels")
+    rest = unsettled(second, labels, put)
+    if rest.limit(1).count():
+        sets = sets_of(docs, found, rest.select("key"), id_col, text_col, put)
+        third = put(shingles.sharing(sets.join(rest, "key"), put), "near-third")
+        last = put(shingles.confirmed(third, sets), "near-last")
+        if last.limit(1).count():
+            labels = put(components(links.union(last)), "near-labels")
     named = labels.join(found.select(F.col("key").alias("node"), "rep_id"), "node")
     smallest = named.groupBy("root").agg(F.min("rep_id").alias("cid"))
     of_class = named.join(smallest, "root").select(F.col("node").alias("key"), "cid")

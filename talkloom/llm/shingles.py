@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 SHINGLE = 5
 #: Per cent of the union that linked sets have in common at least.
@@ -98,3 +98,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a binary, b binary")
+
+
+def sharing(sets: DataFrame, put, like: int = LIKE) -> DataFrame:
+    """Pairs (a, b) of sets (key, part, values) of other parts that could be alike; none that is alike is missing.
+
+    Each set is read from its rarest shingle on.  The smaller of two sets alike has one of its first
+    n - ceil(2 l n / (1 + l)) + 1 shingles among the larger one's first n - ceil(l n) + 1, l being `like`: where
+    many sets share what is too little to be alike, their first shingles are their own, and they do not meet.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(2)]
+            for at in range(0, len(values), 256):
+                some = values[at : at + 256]
+                sizes = np.array([len(v) for v in some])
+                row = pa.array(np.repeat(np.arange(at, at + len(some)), sizes))
+                arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(some))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "part", "n", "gram"])
+
+    grams = put(sets.select("key", "part", "values").mapInArrow(spread, "key binary, part long, n long, gram long"), "sharing-grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = grams.join(often, "gram").groupBy("key", "part", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("shared"))
+    # shingles of one set only come first and meet nothing
+    shared = shared.withColumn("own", F.col("n") - F.size("shared")).withColumn("first", F.col("n") - F.ceil(F.col("n") * like / 100) + 1)
+    met = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("first") - F.col("own")).cast("int"))
+    rows = shared.select("key", "part", "n", "own", F.posexplode(met).alias("pos", "x")).select("key", "part", "n", (F.col("own") + F.col("pos")).alias("at"), "x.gram")
+    # written tables on both sides let Spark split the join where many sets have one shingle
+    large = put(rows, "sharing-first")
+    small = large.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * 2 * like / (100 + like)) + 1)
+    small = put(small.select("gram", *[F.col(c).alias(f"{c}_s") for c in ("key", "part", "n", "at")]), "sharing-small")
+    left = F.least(F.col("n") - F.col("at"), F.col("n_s") - F.col("at_s"))
+    could = (F.col("part") != F.col("part_s")) & (F.col("n_s") <= F.col("n")) & (100 * F.col("n_s") >= like * F.col("n"))
+    could &= left * (100 + like) >= like * (F.col("n") + F.col("n_s"))
+    pairs = small.join(large, "gram").where(could)
+    return pairs.select(F.least("key", "key_s").alias("a"), F.greatest("key", "key_s").alias("b")).distinct()
