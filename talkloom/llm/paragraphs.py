@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm import near, shingles, suffixes
-from talkloom.llm.common import body, components, cut, scratch
+from talkloom.llm.common import body, components, cut, drop_table, scratch
 
 #: A pair of similarity 0.75 meets in no band with probability (1 - 0.75 ** 2) ** 6 = 0.7 %; a passage has several paragraphs.
 BANDS, ROWS = 6, 2
@@ -106,8 +106,10 @@ class Paragraphs:
             at = np.column_stack([self.first, self.last - shingles.SHINGLE + 1]).ravel()
             low = [np.minimum.reduceat(hashing.a[i] * grams + hashing.b[i], at)[::2] for i in range(BANDS * ROWS)]
             self.bands = np.column_stack([shingles.mixed(low[i] * np.uint64(31) + low[i + 1] + np.uint64(i)) for i in range(0, BANDS * ROWS, ROWS)])
+            # further values order the members of a band: paragraphs alike are near each other
+            self.place = sum((low[i] >> np.uint64(32) & np.uint64(0xFFFF)) << np.uint64(16 * k) for k, i in enumerate((10, 7, 4, 1)))
         else:
-            self.bands = np.empty((0, BANDS), np.uint64)
+            self.bands, self.place = np.empty((0, BANDS), np.uint64), np.empty(0, np.uint64)
 
     def values(self, i: int) -> np.ndarray:
         return np.unique(self.grams[self.first[i] : self.last[i] - shingles.SHINGLE + 1])
@@ -119,7 +121,7 @@ class Paragraphs:
 
 
 def _instances(texts: DataFrame, total: int, put) -> DataFrame:
-    """(sha, first_id, n_units, key, values, bands, s, e) of the paragraphs some band of which occurs again; and one row without key for each text."""
+    """(sha, first_id, n_units, key, values, bands, place, s, e) of the paragraphs some band of which occurs again; and one row without key for each text."""
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(total / 12 * BANDS / suffixes.BUCKET_ROWS))
 
@@ -131,19 +133,19 @@ def _instances(texts: DataFrame, total: int, put) -> DataFrame:
 
     ties = suffixes.repeated(texts.groupBy("block").applyInArrow(sample, suffixes.FRAGMENT)).withColumn("kind", F.lit("band"))
     ties = put(ties, "paragraph-ties")
-    schema = "sha string, first_id long, copies long, n_units long, key binary, values binary, bands array<long>, s long, e long"
-    kinds = [("sha", pa.string()), ("first_id", pa.int64()), ("copies", pa.int64()), ("n_units", pa.int64()), ("key", pa.binary()), ("values", pa.binary()), ("bands", pa.list_(pa.int64())), ("s", pa.int64()), ("e", pa.int64())]
+    schema = "sha string, first_id long, copies long, n_units long, key binary, values binary, bands array<long>, place long, s long, e long"
+    kinds = [("sha", pa.string()), ("first_id", pa.int64()), ("copies", pa.int64()), ("n_units", pa.int64()), ("key", pa.binary()), ("values", pa.binary()), ("bands", pa.list_(pa.int64())), ("place", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]
 
     def open_(table: pa.Table, known: pa.Table) -> pa.Table:
         hashing, tied, out = shingles.MinHash(BANDS * ROWS), suffixes.keys_of(known, "band"), []
         for sha, first_id, copies, text in zip(*(table.column(c) for c in ("sha", "first_id", "copies", "text")), strict=True) if table.num_rows else ():
             found = Paragraphs(text.as_py().encode(), hashing)
             head = (sha.as_py(), first_id.as_py(), copies.as_py(), found.n)
-            out.append((*head, None, None, None, None, None))
+            out.append((*head, None, None, None, None, None, None))
             hit = suffixes.is_in(found.bands.ravel(), tied).reshape(found.bands.shape)
             for i in np.flatnonzero(hit.any(axis=1)):
                 values = found.values(i)
-                out.append((*head, shingles.key_of(values), values.tobytes(), found.bands[i][hit[i]].view(np.int64), *found.span(i)))
+                out.append((*head, shingles.key_of(values), values.tobytes(), found.bands[i][hit[i]].view(np.int64), int(found.place[i : i + 1].view(np.int64)[0]), *found.span(i)))
         columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
         return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[k for k, _ in kinds])
 
@@ -152,9 +154,8 @@ def _instances(texts: DataFrame, total: int, put) -> DataFrame:
 
 
 def colliding(units: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of paragraph keys that are neighbours within some band."""
-    rows = units.select(F.explode("bands").alias("region"), "key").distinct()
-    rows = rows.withColumn("place", F.xxhash64("key"))
+    """Distinct pairs (a, b) of paragraph keys that are neighbours within some band; and as rows (a, null, region) the keys of bands not compared whole."""
+    rows = units.select(F.explode("bands").alias("region"), "key", "place").distinct().withColumn("part", F.xxhash64("key"))
     spark = units.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // near.ROWS_PER_PARTITION)
     ordered = rows.repartitionByRange(parts, "region", "place").sortWithinPartitions("region", "place", "key")
@@ -164,20 +165,17 @@ def colliding(units: DataFrame) -> DataFrame:
         if not got:
             return
         whole = pa.Table.from_batches(got).combine_chunks()
-        region, place = whole.column("region").to_numpy(), whole.column("place").to_numpy()
-        i, j = near.pairs_in(region, place, place, 2)
-        keys = whole.column("key").combine_chunks()
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], names=["x", "y"])
+        region, place, part = (whole.column(c).to_numpy() for c in ("region", "place", "part"))
+        yield from near.meetings(whole, *near.pairs_in(region, place, part, 2), near.open_in(region, part))
 
-    met = ordered.mapInArrow(meet, "x binary, y binary")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    return near.distinct(ordered.mapInArrow(meet, near.MEETINGS))
 
 
 def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_paragraphs, n_repeated, n_removed, removed_bytes, spans, sources.
 
-    Paragraphs of MIN_WORDS words and more that share a band are compared on their five-word shingles;
-    links at 0.75 and equal sets form components.  In each component the instance with the smallest
+    Paragraphs of MIN_WORDS words and more that share a band are compared on their five-word shingles,
+    those of bands of more than near.REGION different ones also where they share rare shingles; links at 0.75 and equal sets form components.  In each component the instance with the smallest
     (doc_id, position) stays; the others go, but for instances of the same text that overlap the first.
     spans are the bytes that go, with the white space behind them, sources the documents that keep the passages.  Of equal texts only the
     smallest identifier is looked at, the others lose all their paragraphs.  Paragraphs that no other
@@ -199,8 +197,15 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, put) -> DataFrame:
         found = put(_instances(texts, total, put), "paragraph-units")
     units = found.where("key is not null")
     sets = put(units.groupBy("key").agg(F.first("values").alias("values")), "paragraph-sets")
-    links = put(shingles.confirmed(put(colliding(units), "paragraph-pairs"), sets), "paragraph-links")
+    met = put(colliding(units), "paragraph-pairs")
+    links = put(shingles.confirmed(met.where("b is not null").select("a", "b"), sets), "paragraph-links")
     labels = components(links)
+    rest = near.unsettled(met, labels, put)
+    if rest.limit(1).count():
+        more = put(shingles.confirmed(put(shingles.sharing(sets.join(rest, "key"), put), "paragraph-sharing"), sets), "paragraph-more")
+        if more.limit(1).count():
+            drop_table(labels)
+            labels = components(links.union(more))
     rooted = units.select("sha", "first_id", "copies", "key", "s", "e").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
     rooted = put(rooted.select("sha", "first_id", "copies", F.coalesce("root", "key").alias("root"), "s", "e"), "paragraph-rooted")
     place = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "sha", "s", "e")

@@ -165,6 +165,34 @@ def test_near_joins_a_dense_group(spark):
     assert all(r["component_id"] == (0 if r["doc_id"] < 1000 else r["doc_id"]) for r in got)
 
 
+def twins(rng, n, same, own, common):
+    """2 n texts of which all share `same` words and two each `common` of `own` further words."""
+    start, words = [f"b{rng.randint(0, 9999)}" for _ in range(same)], lambda k: [f"u{rng.randint(0, 1 << 40)}" for _ in range(k)]
+    rows = []
+    for i in range(n):
+        both = words(common)
+        rows += [(2 * i + j, " ".join(start + both + words(own - common))) for j in range(2)]
+    return rows
+
+
+def test_near_links_twins_in_a_dense_region(spark):
+    rows = twins(random.Random(3), 2500, 76, 14, 3)  # 0.77 to the twin, 0.72 to all others
+    got = near.near_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_sharing_misses_no_link(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(300)]
+    rows = [(i.to_bytes(2, "big"), i % 7, bytearray(v.tobytes())) for i, v in enumerate(sets)]
+    pairs = shingles.sharing(spark.createDataFrame(rows, "key binary, part long, values binary"), common.cut).collect()
+    met = {tuple(sorted((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")))) for r in pairs}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if i % 7 != j % 7 and shingles.alike(sets[i].tobytes(), sets[j].tobytes())}
+    assert want and want <= met and all(i % 7 != j % 7 for i, j in met)
+
+
 def test_quality_held_out(spark, data):
     docs, labels = spark.read.parquet(f"{data}/../sf0.01/documents.parquet"), spark.read.parquet(f"{data}/../sf0.01/labels.parquet")
     got = quality.quality_report(docs, labels)
@@ -306,6 +334,12 @@ def test_paragraphs_find_passages_without_sentences(spark):
     assert all(got[100 * k]["n_removed"] == 0 and got[100 * k + 1]["sources"] == [100 * k] for k in range(20))
 
 
+def test_paragraphs_link_twins_in_a_dense_band(spark):
+    rows = twins(random.Random(5), 400, 25, 6, 3)  # 0.8 to the twin, 0.64 to all others
+    got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[2 * i]["n_removed"] == 0 and got[2 * i + 1]["sources"] == [2 * i] for i in range(400))
+
+
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(120)]
