@@ -111,6 +111,20 @@ class Paragraphs:
         else:
             self.bands, self.place = np.empty((0, BANDS), np.uint64), np.empty(0, np.uint64)
 
+    def counted(self) -> np.ndarray:
+        """The text's band hashes, once each, and once more where paragraphs that do not overlap have the same.
+
+        Overlapping paragraphs share bands all the time.
+        """
+        order = np.argsort(self.bands, axis=None, kind="stable")
+        values = self.bands.ravel()[order]
+        if not len(values):
+            return values
+        at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        row = order // BANDS
+        again = np.maximum.reduceat(self.first[row], at) >= np.minimum.reduceat(self.last[row], at)
+        return np.concatenate([values[at], values[at][again]])
+
     def values(self, i: int) -> np.ndarray:
         return np.unique(self.grams[self.first[i] : self.last[i] - shingles.SHINGLE + 1])
 
@@ -127,8 +141,7 @@ def _instances(texts: DataFrame, total: int, put) -> DataFrame:
 
     def sample(table: pa.Table) -> pa.Table:
         hashing = shingles.MinHash(BANDS * ROWS)
-        # once per text: overlapping paragraphs of one text share bands all the time
-        hashes = [np.unique(Paragraphs(t.as_py().encode(), hashing).bands) for t in table.column("text")]
+        hashes = [Paragraphs(t.as_py().encode(), hashing).counted() for t in table.column("text")]
         return pa.Table.from_batches([suffixes.fragments(table.column("block")[0].as_py(), hashes, buckets)])
 
     ties = suffixes.repeated(texts.groupBy("block").applyInArrow(sample, suffixes.FRAGMENT)).withColumn("kind", F.lit("band"))
@@ -178,8 +191,8 @@ def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     those of bands of more than near.REGION different ones also where they share rare shingles; links at 0.75 and equal sets form components.  In each component the instance with the smallest
     (doc_id, position) stays; the others go, but for instances of the same text that overlap the first.
     spans are the bytes that go, with the white space behind them, sources the documents that keep the passages.  Of equal texts only the
-    smallest identifier is looked at, the others lose all their paragraphs.  Paragraphs that no other
-    text comes near are left alone, also where they repeat within their own text.
+    smallest identifier is looked at, the others lose all their paragraphs.  What repeats within one text
+    alone goes as well.
 
     Null and short texts have no paragraphs.  Null identifiers come last when a first instance is
     chosen.  Rows that repeat an identifier and a text share their answer.  Empty tables stay empty.
