@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
 
 K1, B = 1.2, 0.75
-#: Rows of a query side up to which it is broadcast.
+#: Rows of a query side up to which it is broadcast, or broadcast at once.
 BROADCAST_ROWS = 100_000
 
 
@@ -71,12 +73,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vec: str, key: str, vec: str, k: int) -> DataFrame:
-    """Exact nearest vectors by dot product: a stated, bounded set of queries against all rows.
+    """Exact nearest vectors by dot product: all queries against all rows.
 
-    Each task keeps its own best k per query before the shuffle (partial window limit).
+    Queries are broadcast in blocks of about BROADCAST_ROWS by a hash of their identifier.  Each task keeps
+    its own best k per query before the shuffle (partial window limit).
     """
-    scored = vectors.crossJoin(F.broadcast(queries.limit(BROADCAST_ROWS))).select(query_id, key, F.round(dot(F.col(query_vec), F.col(vec)), 5).alias("score"))
-    return ranked(scored.where(F.col(query_id) != F.col(key)), query_id, [key], k)
+    blocks = -(-queries.count() // BROADCAST_ROWS) or 1
+    best = []
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else queries
+        scored = vectors.crossJoin(F.broadcast(some)).select(query_id, key, F.round(dot(F.col(query_vec), F.col(vec)), 5).alias("score"))
+        best.append(ranked(scored.where(F.col(query_id) != F.col(key)), query_id, [key], k))
+    return reduce(DataFrame.union, best)
 
 
 def excerpt_lines(chunks: DataFrame, key: list[str], lines: str, query: str, *, shown: int = 8, salient: bool = True) -> DataFrame:

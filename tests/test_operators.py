@@ -204,3 +204,14 @@ def test_session_log_source(spark, tmp_path):
     assert [(r["role"], r["t"]) for r in got] == [("user", "plain"), ("assistant", "x")] and got[0]["f"] == "-a-b" and got[1]["blocks"][1]["name"] == "Bash"
     names = spark.createDataFrame([("abc-1",), ("abd-2",), ("abc-1",)], "id string")
     assert [r["id"] for r in logs.by_prefix(names, "abc", "id").collect()] == ["abc-1"] and logs.by_prefix(names, "ab", "id").count() == 0
+
+
+def test_dense_topk_answers_queries_of_all_blocks(spark, monkeypatch):
+    from talkloom.operators import retrieval
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(60)], "v long, e array<double>")
+    queries = vectors.where("v % 2 = 0").toDF("q", "x")
+    find = lambda: sorted(map(tuple, retrieval.dense_topk(queries, vectors, query_id="q", query_vec="x", key="v", vec="e", k=3).collect()))
+    whole = find()
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 8)
+    assert len(whole) == 90 and find() == whole
