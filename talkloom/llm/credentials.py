@@ -14,9 +14,9 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 KINDS = ["assign", "access", "hex"]
 #: Parts that are reported only together: identifiers, short or unlabelled secrets, endpoints.
 PARTS = {
-    "id": r"""(?<![A-Za-z0-9])(?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)["']?[\x20\t]{0,8}[:=][\x20\t]{0,8}["']?[A-Za-z0-9@._+-]{3,128}""",
-    "key": r"""(?<![A-Za-z0-9])(?i:pass|pwd|password|passwd|secret|token|auth|credentials?|private_?key|api_?key|secret_?key)["']?[\x20\t]{0,8}[:=][\x20\t]{0,8}["']?[^\s"',;]{4,256}""",
-    "endpoint": r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,512}""",
+    "id": r"""(?<![A-Za-z0-9])(?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)["']?[\x20\t]{0,8}[:=][\x20\t]{0,8}["']?[A-Za-z0-9@._+-]{3,}+""",
+    "key": r"""(?<![A-Za-z0-9])(?i:pass|pwd|password|passwd|secret|token|auth|credentials?|private_?key|api_?key|secret_?key)["']?[\x20\t]{0,8}[:=][\x20\t]{0,8}["']?[^\s"',;]{4,}+""",
+    "endpoint": r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}+""",
 }
 #: Parts further apart than so many code points are of different scopes.
 SCOPE = 200

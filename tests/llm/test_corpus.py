@@ -299,6 +299,13 @@ def test_secrets_base_and_linking(fragments, spark):
     assert len(got) == 7 and kinds == {1: ["id", "key"], 2: [], 3: [], 4: [], 5: ["endpoint", "key"], 6: []}
 
 
+def test_secrets_whole_values(spark):
+    url, token, name = "https://h.example.com/" + "z" * 700, "x9" * 400, "n" * 300
+    rows = [(1, f"{url} pwd=hunter2"), (2, f"user: bob auth={token}"), (3, f"login={name} pass: abcd")]
+    got = {r["doc_id"]: r["spans"] for r in credentials.secrets_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"endpoint:0:{len(url)},key:{len(url) + 1}:{len(url) + 12}", 2: f"id:0:9,key:10:{15 + len(token)}", 3: f"id:0:{6 + len(name)},key:{7 + len(name)}:{17 + len(name)}"}
+
+
 def test_paragraphs_find_passages(spark, awkward):
     rng = random.Random(8)
     passage = ". ".join(prose(rng, 14) for _ in range(8)) + "."
@@ -340,6 +347,17 @@ def test_paragraphs_link_twins_in_a_dense_band(spark):
     assert all(got[2 * i]["n_removed"] == 0 and got[2 * i + 1]["sources"] == [2 * i] for i in range(400))
 
 
+def test_paragraphs_repeated_in_one_text(spark):
+    rng = random.Random(6)
+    passage = ". ".join(prose(rng, 14) for _ in range(5)) + "."
+    text = f"{prose(rng, 80)}. {passage} {prose(rng, 60)}. {passage} {prose(rng, 60)}"
+    rows = [(1, text), (2, prose(rng, 300))]
+    got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    second = len(text[: text.rindex(passage)].encode())
+    assert got[1]["n_removed"] > 0 and got[1]["sources"] == [] and got[2]["n_repeated"] == 0
+    assert got[1]["removed_bytes"] > 0.6 * len(passage.encode()) and all(x["s"] >= second - 20 for x in got[1]["spans"])
+
+
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(120)]
