@@ -5,23 +5,27 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from talkloom.llm.common import partitions_for
 
-#: The dictionary is trained on so many documents (those of smallest hash), each up to so many ids.
-SAMPLE_DOCS, SAMPLE_IDS = 400, 4096
+#: The dictionary is trained on so many pieces (those of smallest hash) of so many bytes, cut from whole texts.
+SAMPLE_PIECES, PIECE_BYTES = 2000, 4096
+#: Texts whose pieces are drawn from are about so many; in smaller tables all of them.
+SAMPLE_DOCS = 1000
 DICTIONARY_BYTES = 64 << 10
 #: A segment (one row of the file format) closes once its frames reach so many bytes.
 SEGMENT_BYTES = 1 << 20
-#: Words whose ids a worker remembers before it starts anew.
-WORDS_KEPT = 600_000
+#: Words whose ids a task remembers before it starts anew; some 150 MB with their pieces.
+WORDS_KEPT = 400_000
 
 SEGMENT = (
     "shard int, segment int, dictionary_sha256 string, first_id long, last_id long, start long, n_tokens long, "
@@ -30,54 +34,73 @@ SEGMENT = (
 BETWEEN_WORDS = re.compile(r"[ \n\t\r]+")
 #: Words of these characters are their own NFC form, and lower() maps them one by one to the second set.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+PLAIN_TEXT = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: its own character where that is visible, the next free one from 256 on elsewhere."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
 _encoders: dict = {}
 
 
-class Encoder:
-    """Ids of whole texts, equal to the library's own, remembering the ids of words.
+class Encoder(dict):
+    """Ids of whole texts, equal to the library's own; a mapping from words to their ids that fills itself.
 
-    The vocabulary's normaliser and splitter never look across a space, tab or line end, so a text's ids
-    are its words' ids in turn.  Plain words are cut into pieces here and go to the library's model;
-    any other word goes through the library's whole path.
+    The vocabulary's normaliser and splitter never look across white space, so a text's ids are its words'
+    ids in turn.  Plain words are cut into pieces here and go to the library's model; any other word goes
+    through the library's whole path.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.bytes_of = self.whole.model, self.whole.pre_tokenizer
+        self.model = self.whole.model
         self.width = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
+        self.packing = struct.Struct("<H" if self.width.itemsize == 2 else "<I").pack
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width.itemsize, "little") for i in ids])
+        return b"".join(map(self.packing, ids))
 
     def piece(self, text: str) -> bytes:
-        as_chars = text if text.isascii() else "".join([p for p, _ in self.bytes_of.pre_tokenize_str(text)])
-        ids = self.pieces[text] = self.packed([t.id for t in self.model.tokenize(as_chars)])
+        known = self.pieces.get(text)
+        if known is None:
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            known = self.pieces[text] = self.packed([t.id for t in self.model.tokenize(letters)])
+        return known
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            ids = self.piece(word.lower())
+        elif PLAIN.fullmatch(word) and "<|" not in word:
+            ids = b"".join(map(self.piece, PIECE.findall(word.lower())))
+        else:
+            ids = self.packed(self.whole.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
         return ids
 
-    def word(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            known = self.pieces
-            return b"".join([known.get(p) or self.piece(p) for p in PIECE.findall(text.lower())])
-        return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-
     def text(self, text: str) -> bytes:
-        words, known = BETWEEN_WORDS.split(text), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-                self.pieces.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+        if PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            words = text.lower().split()
+        else:
+            words = BETWEEN_WORDS.split(text)
+        ids = b"".join(map(self.__getitem__, words))
+        if len(self) > WORDS_KEPT:
+            self.forget()
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
 
 
 def encoder(path: str) -> Encoder:
@@ -87,17 +110,37 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample; none for hardly any data."""
+    """A zstandard dictionary from serialized ids; empty only where no text is.
+
+    Pieces of whole texts are the sample: those of the smallest hashes among the pieces of about SAMPLE_DOCS
+    texts, so SAMPLE_PIECES * PIECE_BYTES bounds what reaches the driver.  Where there is too little to
+    train on, the sampled ids themselves are the dictionary.
+    """
     import zstandard
 
-    sample = docs.where("text <> ''").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-    codes = encoder(tokenizer)
-    cut = SAMPLE_IDS * codes.width.itemsize
-    samples = [codes.text(r["text"])[:cut] for r in sample.select("text").toLocalIterator()]
+    rows = docs.count()
+    share = F.lit(1.0) if rows <= SAMPLE_DOCS else F.lit(SAMPLE_DOCS / rows)
+    mark = F.xxhash64("doc_id", F.octet_length("text"))
+    some = docs.where((F.shiftrightunsigned(mark, 11) / F.lit(float(1 << 53)) < share) & (F.col("text") != "")).select(mark.alias("h"), "text")
+
+    def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = encoder(tokenizer)
+        for batch in batches:
+            marks, pieces = [], []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = codes.text(text.as_py())
+                cut = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
+                marks += [xxhash.xxh64_intdigest(p, h & (1 << 63) - 1) >> 1 for p in cut]
+                pieces += cut
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(pieces, pa.binary())], names=["h", "piece"])
+        codes.forget()
+
+    best = some.mapInArrow(serialize, "h long, piece binary").orderBy("h", "piece").limit(SAMPLE_PIECES)
+    samples = [bytes(r["piece"]) for r in best.collect()]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 8 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -108,8 +151,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     shards/      one row per output partition: its documents, ids, and the number of ids before it
 
     Null texts are empty and hold the end id only; null identifiers come first; rows that repeat an
-    identifier all stay, in order of their texts.  Empty tables write a dictionary and no segment.
-    Other columns are ignored.
+    identifier all stay, in order of their texts' hashes, so that they can lie in several partitions.  A text
+    of any length is one frame, held whole by one task.  Empty tables write an empty dictionary and no
+    segment.  Other columns are ignored.
     """
     import zstandard
 
@@ -140,10 +184,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = codes.text(text.as_py()) + end
                 packed = frame.compress(raw)
-                ids.append(doc_id.as_py())
+                ids.append(doc_id)
                 counts.append(len(raw) // codes.width.itemsize)
                 frames.append(packed)
                 offsets.append(offsets[-1] + len(packed))
@@ -153,9 +197,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
                     ids, counts, offsets, frames = [], [], [0], []
         if ids:
             yield close()
+        codes.forget()
 
-    ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
+    place = ["doc_id", "mark"]
+    ordered = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(partitions_for(docs), *place).sortWithinPartitions(*place, "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
     segments = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
     shards = segments.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per partition of the output
