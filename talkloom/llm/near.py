@@ -34,11 +34,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         hashing = shingles.MinHash(VALUES)
         for batch in batches:
             n, keys, sigs = [], [], []
-            for text in batch.column(1):
-                values = shingles.shingle_set(text.as_py())
-                n.append(len(values))
-                keys.append(shingles.key_of(values) if len(values) else None)
-                sigs.append(hashing.of(values).tobytes() if len(values) else None)
+            for words in shingles.text_groups(batch.column(1)):
+                values, per = words.shingled()
+                sets = [np.unique(values[per[i] : per[i + 1]]) for i in range(len(per) - 1)]
+                full = [v for v in sets if len(v)]
+                sizes = np.array([len(v) for v in full], np.int64)
+                rows_ = iter(hashing.of(np.concatenate(full), np.cumsum(sizes) - sizes) if full else ())
+                n += [len(v) for v in sets]
+                keys += [shingles.key_of(v) if len(v) else None for v in sets]
+                sigs += [next(rows_).tobytes() if len(v) else None for v in sets]
             arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "n_shingles", "key", "sig"])
 
@@ -189,7 +193,7 @@ def sets_of(docs: DataFrame, found: DataFrame, ends: DataFrame, id_col: str, tex
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles.shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+            values = [v.tobytes() for v in shingles.shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["key", "values"])
 
     return put(rows.mapInArrow(shingle, "key binary, values binary").dropDuplicates(["key"]), "near-sets")

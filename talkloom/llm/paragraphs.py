@@ -20,24 +20,16 @@ MIN_WORDS, MAX_WORDS = 16, 64
 STRETCH = MAX_WORDS // 2
 #: Starts lie at least so many words apart; then paragraphs of one text that drift from word to word are never alike (LIKE).
 APART = 4
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
 
 
-def words_in(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, closes) of each word in bytes: closes where a sentence or a line ends behind it."""
-    data = np.frombuffer(raw.lower(), np.uint8)
-    gap = SPACE[data]
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return start, end, np.empty(0, np.uint64), np.empty(0, bool)
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    behind = np.concatenate([start[1:], [len(data)]])
-    closes = ENDS[data[end - 1]] | (lines[behind] > lines[end])
-    return start, end, shingles.word_hashes(raw.lower().split()), closes
+def closing(words: shingles.Words) -> np.ndarray:
+    """Whether a sentence or a line ends behind each word."""
+    lines = np.concatenate([[0], np.cumsum(words.data == 10)])
+    behind = np.append(words.start[1:], len(words.data))
+    ends = np.minimum(behind, np.repeat(words.bounds[1:], np.diff(words.per)))
+    return ENDS[words.data[words.end - 1]] | (lines[ends] > lines[words.end])
 
 
 def lowest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,24 +42,32 @@ def lowest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at[keep]
 
 
-def cuts_in(words: np.ndarray, closes: np.ndarray) -> np.ndarray:
-    """Word numbers, 0 and len(words) among them, at which paragraphs start and end, no two further apart than STRETCH.
+def cuts_in(words: shingles.Words, closes: np.ndarray) -> np.ndarray:
+    """Word numbers at which paragraphs start and end: both ends of each text among them, no two further apart than STRETCH.
 
     Cuts lie behind sentence and line ends, of ends less than APART words apart at the one of smallest hash of
     the two words that follow.  Longer stretches are cut where that hash is smallest among its neighbours, so
     a passage has the same cuts wherever it stands; what is still too long (repeated words) is cut evenly.
+    Cuts within a text stay APART words away from its ends, so the texts around it change nothing.
     """
-    n = len(words)
-    h = shingles.mixed(words * np.uint64(3) + np.append(words[1:], np.uint64(0)))
-    ends = np.flatnonzero(closes[:-1]) + 1
-    ends = lowest(h, ends[(ends >= APART) & (ends <= n - APART)])
-    cuts = np.concatenate([[0], ends, [n]])
+    per, n = words.per, len(words.hash)
+    after = np.append(words.hash[1:], np.uint64(0))
+    tails = per[1:][np.diff(per) > 0] - 1
+    after[tails] = 0
+    h = shingles.mixed(words.hash * np.uint64(3) + after)
+
+    def inside(at: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        home = np.searchsorted(borders, at, "right") - 1
+        return (at - borders[home] >= APART) & (borders[np.minimum(home + 1, len(borders) - 1)] - at >= APART)
+
+    borders = np.unique(per)
+    ends = np.flatnonzero(closes) + 1
+    ends = lowest(h, ends[inside(ends, borders)])
+    cuts = np.union1d(borders, ends)
     wide = np.diff(cuts) > STRETCH
     if wide.any():
-        at = np.arange(n)
-        inner = lowest(h, at)
-        home = np.searchsorted(cuts, inner, "right") - 1
-        inner = inner[wide[home] & (inner - cuts[home] >= APART) & (cuts[home + 1] - inner >= APART)]
+        inner = lowest(h, np.arange(n))
+        inner = inner[wide[np.searchsorted(cuts, inner, "right") - 1] & inside(inner, cuts)]
         cuts = np.union1d(cuts, inner)
         gap = np.diff(cuts)
         more = [cuts[i] + gap[i] * np.arange(1, -(-gap[i] // STRETCH)) // -(-gap[i] // STRETCH) for i in np.flatnonzero(gap > STRETCH)]
@@ -75,36 +75,42 @@ def cuts_in(words: np.ndarray, closes: np.ndarray) -> np.ndarray:
     return cuts
 
 
-def paragraphs_in(words: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraphs as [first, last) word numbers, in which every word of a text of MIN_WORDS words lies.
+def paragraphs_in(words: shingles.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Paragraphs as [first, last) word numbers, in which every word of each text of MIN_WORDS words lies.
 
     One starts at each cut and ends at the first cut, sentence or line end MIN_WORDS words on, but not before
-    the next cut, so they may overlap; the last one runs on to the text's end.
+    the next cut, so they may overlap; a text's last one runs on to its end.
     """
-    n = len(words)
-    if n < MIN_WORDS:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    none = np.empty(0, np.int64)
+    if not len(words.hash):
+        return none, none
+    closes = closing(words)
     cuts = cuts_in(words, closes)
-    begins = cuts[cuts <= n - MIN_WORDS]
+    ends = words.per[np.searchsorted(words.per, cuts[:-1], "right")]
+    fit = np.flatnonzero(cuts[:-1] + MIN_WORDS <= ends)
+    if not len(fit):
+        return none, none
+    first, ends = cuts[fit], ends[fit]
     stops = np.union1d(cuts, np.flatnonzero(closes) + 1)
-    last = np.maximum(stops[np.searchsorted(stops, begins + MIN_WORDS)], cuts[1 : len(begins) + 1])
-    if last[-1] < n:
-        begins, last = np.append(begins, begins[-1]), np.append(last, n)
-    return begins, last
+    last = np.maximum(stops[np.searchsorted(stops, first + MIN_WORDS)], cuts[fit + 1])
+    final = np.append(ends[1:] != ends[:-1], True) & (last < ends)
+    first, last = np.concatenate([first, first[final]]), np.concatenate([last, ends[final]])
+    order = np.lexsort((last, first))
+    return first[order], last[order]
 
 
 class Paragraphs:
-    """The paragraphs of one text with 128-bit keys of their words and band hashes."""
-
-    def __init__(self, raw: bytes, hashing: shingles.MinHash):
-        self.start, self.end, words, closes = words_in(raw)
-        self.first, self.last = paragraphs_in(words, closes)
-        self.grams = shingles.shingle_sequence(words)
-        self.n = len(self.first)
-        if self.n:
-            grams = np.concatenate([self.grams, self.grams[-1:]])
+    """The paragraphs of a group of texts with band hashes: first and last word, text, bands, place in a band."""
+
+    def __init__(self, words: shingles.Words, hashing: shingles.MinHash):
+        self.words = words
+        self.first, self.last = paragraphs_in(words)
+        self.text = np.searchsorted(words.per, self.first, "right") - 1
+        self.grams = words.grams()
+        if len(self.first):
+            grams = np.append(self.grams, self.grams[-1:])
             at = np.column_stack([self.first, self.last - shingles.SHINGLE + 1]).ravel()
-            low = [np.minimum.reduceat(hashing.a[i] * grams + hashing.b[i], at)[::2] for i in range(BANDS * ROWS)]
+            low = [np.minimum.reduceat(a * grams + b, at)[::2] for a, b in zip(hashing.a, hashing.b, strict=True)]
             self.bands = np.column_stack([shingles.mixed(low[i] * np.uint64(31) + low[i + 1] + np.uint64(i)) for i in range(0, BANDS * ROWS, ROWS)])
             # further values order the members of a band: paragraphs alike are near each other
             self.place = sum((low[i] >> np.uint64(32) & np.uint64(0xFFFF)) << np.uint64(16 * k) for k, i in enumerate((10, 7, 4, 1)))
@@ -112,26 +118,30 @@ class Paragraphs:
             self.bands, self.place = np.empty((0, BANDS), np.uint64), np.empty(0, np.uint64)
 
     def counted(self) -> np.ndarray:
-        """The text's band hashes, once each, and once more where paragraphs that do not overlap have the same.
+        """The band hashes, once for each text, and once more where paragraphs that do not overlap have the same in one text.
 
         Overlapping paragraphs share bands all the time.
         """
-        order = np.argsort(self.bands, axis=None, kind="stable")
-        values = self.bands.ravel()[order]
+        values, row = self.bands.ravel(), np.repeat(np.arange(len(self.first)), BANDS)
         if not len(values):
             return values
-        at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        row = order // BANDS
+        order = np.lexsort((values, self.text[row]))
+        values, row = values[order], row[order]
+        text = self.text[row]
+        at = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (text[1:] != text[:-1])]))
         again = np.maximum.reduceat(self.first[row], at) >= np.minimum.reduceat(self.last[row], at)
         return np.concatenate([values[at], values[at][again]])
 
     def values(self, i: int) -> np.ndarray:
         return np.unique(self.grams[self.first[i] : self.last[i] - shingles.SHINGLE + 1])
 
-    def span(self, i: int) -> tuple[int, int]:
-        # up to the next word, so that nothing is left between paragraphs that follow each other
-        stop = self.last[i]
-        return int(self.start[self.first[i]]), int(self.start[stop] if stop < len(self.start) else self.end[-1])
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of each paragraph in its text, up to the next word, so that nothing is left between paragraphs that follow each other."""
+        words = self.words
+        low = words.bounds[self.text]
+        closed = self.last == words.per[self.text + 1]
+        follow = np.append(words.start, 0)[self.last]
+        return words.start[self.first] - low, np.where(closed, words.end[self.last - 1], follow) - low
 
 
 def _instances(texts: DataFrame, total: int, put) -> DataFrame:
@@ -141,7 +151,7 @@ def _instances(texts: DataFrame, total: int, put) -> DataFrame:
 
     def sample(table: pa.Table) -> pa.Table:
         hashing = shingles.MinHash(BANDS * ROWS)
-        hashes = [Paragraphs(t.as_py().encode(), hashing).counted() for t in table.column("text")]
+        hashes = [Paragraphs(words, hashing).counted() for words in shingles.text_groups(table.column("text"))]
         return pa.Table.from_batches([suffixes.fragments(table.column("block")[0].as_py(), hashes, buckets)])
 
     ties = suffixes.repeated(texts.groupBy("block").applyInArrow(sample, suffixes.FRAGMENT)).withColumn("kind", F.lit("band"))
@@ -150,15 +160,20 @@ def _instances(texts: DataFrame, total: int, put) -> DataFrame:
     kinds = [("sha", pa.string()), ("first_id", pa.int64()), ("copies", pa.int64()), ("n_units", pa.int64()), ("key", pa.binary()), ("values", pa.binary()), ("bands", pa.list_(pa.int64())), ("place", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]
 
     def open_(table: pa.Table, known: pa.Table) -> pa.Table:
-        hashing, tied, out = shingles.MinHash(BANDS * ROWS), suffixes.keys_of(known, "band"), []
-        for sha, first_id, copies, text in zip(*(table.column(c) for c in ("sha", "first_id", "copies", "text")), strict=True) if table.num_rows else ():
-            found = Paragraphs(text.as_py().encode(), hashing)
-            head = (sha.as_py(), first_id.as_py(), copies.as_py(), found.n)
-            out.append((*head, None, None, None, None, None, None))
+        hashing, tied, done, out = shingles.MinHash(BANDS * ROWS), suffixes.keys_of(known, "band"), 0, []
+        heads = list(zip(*(table.column(c).to_pylist() for c in ("sha", "first_id", "copies")), strict=True)) if table.num_rows else []
+        for words in shingles.text_groups(table.column("text")) if heads else ():
+            found = Paragraphs(words, hashing)
+            texts_ = len(words.per) - 1
+            n_units = np.bincount(found.text, minlength=texts_).tolist()
+            out += [(*heads[done + t], n_units[t], None, None, None, None, None, None) for t in range(texts_)]
             hit = suffixes.is_in(found.bands.ravel(), tied).reshape(found.bands.shape)
-            for i in np.flatnonzero(hit.any(axis=1)):
+            some = np.flatnonzero(hit.any(axis=1))
+            bands, place, (s, e) = found.bands.view(np.int64), found.place.view(np.int64), found.spans()
+            for i, t, p, b, c in zip(some.tolist(), *(x[some].tolist() for x in (found.text, place, s, e)), strict=True):
                 values = found.values(i)
-                out.append((*head, shingles.key_of(values), values.tobytes(), found.bands[i][hit[i]].view(np.int64), int(found.place[i : i + 1].view(np.int64)[0]), *found.span(i)))
+                out.append((*heads[done + t], n_units[t], shingles.key_of(values), values.tobytes(), bands[i][hit[i]], p, b, c))
+            done += texts_
         columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
         return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[k for k, _ in kinds])
 

@@ -1,8 +1,9 @@
-"""Word shingles as 64-bit hashes, MinHash signatures, and exact comparison of shingle sets."""
+"""Words and word shingles of many texts at once as 64-bit hashes, MinHash signatures, exact comparison of shingle sets."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 SHINGLE = 5
 #: Per cent of the union that linked sets have in common at least.
 LIKE = 75
-WORDS_KEPT = 400_000
-_known: dict[bytes, int] = {}
+#: Texts of about so many bytes are hashed together; a longer text is a group of its own.
+GROUP_BYTES = 128 << 10
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
-
-
-def split_words(text: str) -> list[bytes]:
-    """Runs of anything but ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "replace").lower().split()
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: A random odd number for each byte, A-Z like a-z.
+_BYTE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -27,33 +28,101 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    try:
-        got = [_known[w] for w in words]
-    except KeyError:
-        if len(_known) > WORDS_KEPT:
-            _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w)
-        got = [_known[w] for w in words]
-    return np.array(got, np.uint64)
+def _weights(place: np.ndarray) -> np.ndarray:
+    """An odd number for each place within a word."""
+    return mixed((place.astype(np.uint64) + np.uint64(1)) * _MUL) | np.uint64(1)
+
 
+_PLACES = _weights(np.arange(1 << 12))
 
-def shingle_sequence(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """The hash of the shingle at each position; fewer words than `size` are one shingle, none are none."""
-    n = len(words)
-    span = min(size, n)
-    if not n:
-        return words
-    h = np.full(n - span + 1, span, np.uint64)
-    for j in range(span):
-        h = mixed(h * _MUL + words[j : n - span + 1 + j])
-    return h
+
+@dataclass
+class Words:
+    """The words of some texts, one after another: runs of anything but ASCII white space, A-Z like a-z.
+
+    start and end are places in data, hash is 64 bits of the word, text i has the words per[i] to per[i + 1]
+    and the bytes bounds[i] to bounds[i + 1].
+    """
+
+    data: np.ndarray
+    bounds: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    per: np.ndarray
+
+    def grams(self, size: int = SHINGLE) -> np.ndarray:
+        """The hash of the shingle that starts at each word; where the text ends before, of what is left if that is the whole text, else of no meaning."""
+        n = len(self.hash)
+        padded = np.concatenate([self.hash, np.zeros(size - 1, np.uint64)])
+        h = np.full(n, size, np.uint64)
+        for j in range(size):
+            h = mixed(h * _MUL + padded[j : n + j])
+        count = np.diff(self.per)
+        for i in np.flatnonzero((count > 0) & (count < size)):
+            one = np.full(1, count[i], np.uint64)
+            for k in range(self.per[i], self.per[i + 1]):
+                one = mixed(one * _MUL + self.hash[k : k + 1])
+            h[self.per[i]] = one[0]
+        return h
+
+    def shingled(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, per): the shingles text by text; fewer words than `size` are one shingle, none are none."""
+        count = np.diff(self.per)
+        many = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
+        here = np.arange(len(self.hash)) - np.repeat(self.per[:-1], count) < np.repeat(many, count)
+        return self.grams(size)[here], np.concatenate([[0], np.cumsum(many)])
+
+
+def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
+    inside = ~SPACE[data]
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads, tails = bounds[full], bounds[full + 1] - 1
+    first[heads], last[tails] = inside[heads], inside[tails]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if len(start):
+        size = end - start
+        at = np.cumsum(size) - size
+        place = np.arange(at[-1] + size[-1]) - np.repeat(at, size)
+        weight = _PLACES[place] if size.max() <= len(_PLACES) else _weights(place)
+        code = mixed(np.add.reduceat(_BYTE[data[inside]] * weight, at))
+    else:
+        code = np.empty(0, np.uint64)
+    return Words(data, bounds, start, end, code, np.searchsorted(start, bounds))
+
+
+def text_groups(column: pa.Array | pa.ChunkedArray, most: int = GROUP_BYTES) -> Iterator[Words]:
+    """The words of a column of texts without nulls, in groups of whole texts."""
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if not len(chunk):
+            continue
+        _, places, values = chunk.buffers()
+        kind = np.int64 if pa.types.is_large_string(chunk.type) or pa.types.is_large_binary(chunk.type) else np.int32
+        bounds = np.frombuffer(places, kind)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+        data = np.frombuffer(values, np.uint8) if values else np.empty(0, np.uint8)
+        at = 0
+        while at < len(chunk):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+            yield split_words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+            at = to
+
+
+def of_text(text: str) -> Words:
+    return next(text_groups(pa.array([text], pa.string())))
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
-    return np.unique(shingle_sequence(word_hashes(split_words(text)), size))
+    return np.unique(of_text(text).shingled(size)[0])
+
+
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text."""
+    for words in text_groups(column):
+        values, per = words.shingled(size)
+        yield from (np.unique(values[per[i] : per[i + 1]]) for i in range(len(per) - 1))
 
 
 class MinHash:
@@ -63,12 +132,10 @@ class MinHash:
         draw = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, (2, count), np.uint64)
         self.a, self.b = (draw[0] << np.uint64(1)) | np.uint64(1), draw[1]
 
-    def of(self, values: np.ndarray) -> np.ndarray:
-        best = None
-        for at in range(0, len(values), 1024):
-            got = (self.a[:, None] * values[None, at : at + 1024] + self.b[:, None]).min(axis=1)
-            best = got if best is None else np.minimum(best, got)
-        return (best >> np.uint64(32)).astype(np.uint32)
+    def of(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One row of minima for each stretch of values that starts at `at`; none is empty."""
+        low = [np.minimum.reduceat(a * values + b, at) for a, b in zip(self.a, self.b, strict=True)]
+        return (np.column_stack(low) >> np.uint64(32)).astype(np.uint32)
 
 
 def key_of(values: np.ndarray) -> bytes:

@@ -322,15 +322,26 @@ def test_paragraphs_find_passages(spark, awkward):
 
 
 def test_paragraphs_hold_every_word():
+    import pyarrow as pa
+
     rng = random.Random(4)
+    texts = ["", "one", " "]
     for often in (0, 0.05, 1):
-        for n in (16, 65, 400):
+        for n in (15, 16, 65, 400):
             for words in ([f"w{rng.randint(0, 9999)}" for _ in range(n)], ["same"] * n):
-                text = " ".join(w + ("." if rng.random() < often else "") for w in words)
-                _, _, hashes, closes = paragraphs.words_in(text.encode())
-                first, last = paragraphs.paragraphs_in(hashes, closes)
-                assert {k for i, j in zip(first, last, strict=True) for k in range(i, j)} == set(range(n))
-                assert all(paragraphs.MIN_WORDS <= j - i <= paragraphs.MAX_WORDS for i, j in zip(first, last, strict=True))
+                texts += [rng.choice(["", " "]) + " ".join(w + ("." if rng.random() < often else "") for w in words) + rng.choice(["", "\n"])]
+    both = next(shingles.text_groups(pa.array(texts), 1 << 30))
+    first, last = paragraphs.paragraphs_in(both)
+    spans = set()
+    for i, text in enumerate(texts):
+        alone = paragraphs.Paragraphs(shingles.of_text(text), shingles.MinHash(12))
+        n = len(text.split())
+        assert {k for a, b in zip(alone.first, alone.last, strict=True) for k in range(a, b)} == set(range(n if n >= 16 else 0))
+        assert all(paragraphs.MIN_WORDS <= b - a <= paragraphs.MAX_WORDS for a, b in zip(alone.first, alone.last, strict=True))
+        assert all(text.encode()[a:b].split() == text.encode().split()[i:j] for a, b, i, j in zip(*alone.spans(), alone.first, alone.last, strict=True))
+        spans |= {(a + both.per[i], b + both.per[i]) for a, b in zip(alone.first, alone.last, strict=True)}
+    # a text's paragraphs do not depend on the texts it is grouped with
+    assert spans == set(zip(first.tolist(), last.tolist(), strict=True))
 
 
 def test_paragraphs_find_passages_without_sentences(spark):
