@@ -18,10 +18,24 @@ def body(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where the frame has such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the cluster names none (tests) a local one is set."""
+    """The folder all executors share.  Where none is named a local one is set in local mode (tests), elsewhere it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="talkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.llm.common import body
 
-#: Expected copies are kept as whole numbers of this part, so sums do not depend on their order.
-UNIT = 1 << 30
+#: Expected copies are kept as whole numbers of this part, so sums do not depend on their
+#: order; a source of 4e12 rows, all taken twice, still fits 64 bits.
+UNIT_BITS = 20
+UNIT = 1 << UNIT_BITS
 #: Source tables up to so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 #: Rows that one bucket of the two-level prefix sum holds on average.
@@ -48,44 +50,63 @@ def mix(docs: DataFrame, *, size: Column | None = None, id_col: str = "doc_id",
     Every document of a source expects target / source_size copies.  Within a source the documents lie in
     order of falling size class, then hash of the identifier; prefix sums of the expectations plus one
     offset per source (from the seed) cross a whole number once for each copy.  Copies are the expectation
-    rounded down or up, never above `most`.  Prefix sums have two levels, buckets inside a source and rows
-    inside a bucket, so that one source may hold any share of the rows.
+    rounded down or up, never above `most`.  Prefix sums have three levels: size classes of a source (a few
+    hundred), buckets of a class and rows of a bucket, so that one source may hold any share of the rows.
 
     Nulls: a null source is a source of its own, null texts have size 0, null identifiers hash alike.
     A source of size 0 has target 0 and no copies.  Rows that repeat an identifier are rows of their own.
-    Empty tables stay empty.  All columns of the input are kept.
+    Texts of any length count as they are.  Empty tables stay empty.  All columns of the input are kept,
+    but those named like one of the four new ones, which replace them.
     """
     size = word_count() if size is None else size
     most = float(shares.get("most", 2.0))
-    rows = docs.withColumns({"__size": size.cast("long"), "__source": F.col(source_col), "__hash": F.xxhash64(F.col(id_col), F.lit(seed))})
-    # about eight classes for each doubling, the largest first
-    rows = rows.withColumn("__class", -F.floor(F.log2(F.col("__size") + 1) * 8).cast("int"))
-    sized = rows.select(F.col("__source").alias("source"), F.col("__size").alias("size"))
-    aims = targets(sized, **shares)
+    kept = [c for c in docs.columns if c.lower() not in ("__size", "__source_size", "__target", "__copies")]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), size.cast("long").alias("size"), F.col(source_col).alias("source"),
+        F.xxhash64(F.col(id_col), F.lit(seed)).alias("hash"), F.col(id_col).alias("id"),
+    )
+    aims = targets(rows.select("source", "size"), **shares)
     buckets = max(1, docs.select(id_col).count() // ROWS_PER_BUCKET) * 4
-    rows = rows.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__hash", 20), F.lit(buckets)).cast("int"))
-    key = ["__source", "__class", "__bucket"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    aims = aims.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    # about eight classes for each doubling, the largest first
+    rows = rows.withColumns({"class": -F.floor(F.log2(F.col("size") + 1) * 8).cast("int"), "bucket": F.pmod(F.shiftrightunsigned("hash", 20), F.lit(buckets)).cast("int")})
+    key = ["source", "class", "bucket"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    aims = aims.select(F.col("source").alias("s"), "source_size", "target")
     aims = F.broadcast(aims) if aims.count() <= BROADCAST_SOURCES else aims
-    each = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(most)) * UNIT).otherwise(0)
-    offset = F.pmod(F.xxhash64("__source", F.lit(seed + 1)), F.lit(UNIT))
-    inside = W.partitionBy("__source").orderBy("__class", "__bucket").rowsBetween(W.unboundedPreceding, -1)
+    each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most)) * UNIT).otherwise(0)
+    offset = F.pmod(F.xxhash64("source", F.lit(seed + 1)), F.lit(UNIT))
+    earlier = W.unboundedPreceding, -1
+    # rows of the classes before, then of the buckets before
+    classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("class").rowsBetween(*earlier)), F.lit(0))
+    classes = classes.select(F.col("source").alias("cs"), F.col("class").alias("cc"), before.alias("ahead"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source", "class").orderBy("bucket").rowsBetween(*earlier)), F.lit(0))
     starts = (
-        counts.join(aims, F.col("__source").eqNullSafe(F.col("__s")))
-        .withColumn("__each", F.round(each).cast("long"))
-        .withColumn("__start", F.coalesce(F.sum(F.col("__n") * F.col("__each")).over(inside), F.lit(0)) + offset)
-        .select(F.col("__source").alias("__s"), F.col("__class").alias("__c"), F.col("__bucket").alias("__b"), "__source_size", "__target", "__each", "__start")
+        counts.withColumn("inner", before)
+        .join(classes, F.col("source").eqNullSafe(F.col("cs")) & (F.col("class") == F.col("cc")))
+        .join(aims, F.col("source").eqNullSafe(F.col("s")))
+        .select(
+            F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("b"), "source_size", "target", F.round(each).cast("long").alias("each"),
+            (F.col("ahead") + F.col("inner")).alias("before"), offset.alias("offset"),
+        )
+    )
+    placed = rows.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy("hash", "id")).cast("long"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("bucket") == F.col("b"))
+    copies = crossings(F.col("before") + F.col("rank"), F.col("each"), F.col("offset"))
+    return placed.join(starts, same).select(
+        "row.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), copies.cast("int").alias("__copies")
     )
-    order = W.partitionBy(*key).orderBy("__hash", F.col(id_col))
-    placed = rows.withColumn("__rank", F.row_number().over(order).cast("long"))
-    same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__bucket") == F.col("__b"))
-    upto = F.col("__start") + F.col("__rank") * F.col("__each")
-    copies = F.shiftright(upto, 30) - F.shiftright(upto - F.col("__each"), 30)
-    joined = placed.join(starts, same).withColumn("__copies", copies.cast("int"))
-    return joined.select(*docs.columns, "__size", "__source_size", "__target", "__copies")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with the columns of the input."""
-    return mix(docs, **options).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
+def crossings(place: Column, each: Column, offset: Column) -> Column:
+    """Whole numbers between the sum before a row and the sum with it; place counts rows from 1, each is an expectation in UNITs."""
+    upto = place * each + offset
+    return F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - each, UNIT_BITS)
+
+
+def mixed_documents(docs: DataFrame, *, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: every document as many times as it is taken, with the columns of the input, whatever their names."""
+    size = word_count() if size is None else size
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("words"))
+    taken = mix(packed, size=F.col("words"), id_col="id", **options).where("__copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("doc.*")

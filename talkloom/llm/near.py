@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm import shingles
-from talkloom.llm.common import body, components, cut, drop_table, scratch
+from talkloom.llm.common import body, components, cut, drop_table, free, scratch
 
 #: Sorted orders (trees), signature values that a candidate pair shares at least, and values per signature.
 TREES, DEPTH = 32, 4
@@ -261,14 +261,15 @@ def near_deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One document of each component, that of the smallest identifier, with the columns of the input.
 
     Rows that repeat an identifier and a text stay once.  A null identifier stays only where its
-    component has no other.
+    component has no other.  Null, empty and blank texts stay.  An empty table stays empty; other columns
+    are kept, whatever their names.
     """
+    mark, kept_id, kept_mark = free(docs, "mark", "kept_id", "kept_mark")
     kept = near_components(docs, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(kept.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")), "near-kept")
-    marked = docs.withColumn("__mark", F.xxhash64(body(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("doc_id_kept")) & (F.col("__mark") == F.col("mark_kept"))
-    names = kept.select(F.col("doc_id").alias("doc_id_kept"), F.col("mark").alias("mark_kept"))
-    left = marked.join(names, same, "left_semi")
+    marked = docs.withColumn(mark, F.xxhash64(body(text_col)))
+    names = kept.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark))
+    left = marked.join(names, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)), "left_semi")
     if kept.where("n > 1").limit(1).count():
-        left = left.dropDuplicates([id_col, "__mark"])
+        left = left.dropDuplicates([id_col, mark])
     return left.select(*docs.columns)

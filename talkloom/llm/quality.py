@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from talkloom.llm.common import body
+from talkloom.llm.common import body, free, scratch
 
-#: The field is fitted on so many labelled documents (those of smallest hash), each up to so many lines.
-SAMPLE_DOCS, SAMPLE_LINES = 3000, 300
+#: The field is fitted on so many labelled documents at most (those of smallest hash), whole ones, of so many lines together.
+SAMPLE_DOCS, SAMPLE_LINES = 3000, 120_000
 STEPS, RATE, RIDGE = 250, 0.1, 1e-4
-#: Texts whose lines are scored together.
-GROUP_BYTES = 4 << 20
+#: Texts of about so many bytes are scored together; their arrays take some 200 bytes for each.
+GROUP_BYTES = 256 << 10
 
 LETTER, UPPER, DIGIT, SPACE, STOP, MARK, BANG, BAR, OTHER = range(9)
 KIND = np.full(256, OTHER, np.uint8)
@@ -156,20 +156,34 @@ def remainder(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
-    """The field fitted on a bounded sample of the labelled rows outside the held-out third; None without labels."""
+    """The field fitted on a bounded sample of the labelled rows outside the held-out third; None without labels.
+
+    Documents come in order of their hash; one that has more lines than are left of SAMPLE_LINES is passed over.
+    """
     known = labels.select(F.col("doc_id").alias("i"), "quality").where("i is not null and quality is not null").where(remainder("i") != 1)
     chosen = known.groupBy("i").agg(F.max("quality").alias("q")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_DOCS)
-    rows = docs.select(F.col(id_col).alias("i"), body(text_col).alias("text")).join(F.broadcast(chosen), "i").select("q", "text")
+    rows = docs.select(F.col(id_col).alias("i"), body(text_col).alias("text")).join(F.broadcast(chosen), "i")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                x, w, n = line_features([b"\n".join(text.as_py().encode().split(b"\n", SAMPLE_LINES)[:SAMPLE_LINES])])
-                out.append((x.astype("<f4").tobytes(), w.astype("<f4").tobytes(), int(n[0])))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_pylist(), pa.int64()), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64())))], names=["q", "x", "w", "n"])
-
-    got = sorted(rows.select(F.col("q").cast("long"), "text").mapInArrow(measure, "q long, x binary, w binary, n long").collect(), key=lambda r: (r["q"], bytes(r["x"])))
+            for text in batch.column(2):
+                raw = text.as_py().encode()
+                n = raw.count(b"\n") + 1
+                x, w, _ = line_features([raw]) if n <= SAMPLE_LINES else (np.empty(0), np.empty(0), None)
+                out.append((x.astype("<f4").tobytes(), w.astype("<f4").tobytes(), n))
+            made = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["h", "q", "x", "w", "n"])
+
+    with scratch() as put:
+        drawn = rows.select(F.xxhash64("i", "text").alias("h"), F.col("q").cast("long").alias("q"), "text")
+        drawn = put(drawn.mapInArrow(measure, "h long, q long, x binary, w binary, n long"), "quality-sample").dropDuplicates(["h"])
+        left, taken = SAMPLE_LINES, []
+        for r in drawn.select("h", "n").orderBy("h").limit(SAMPLE_DOCS).collect():
+            if r["n"] <= left:
+                left -= r["n"]
+                taken.append(r["h"])
+        got = sorted(drawn.where(F.col("h").isin(taken)).select("q", "x", "w", "n").collect(), key=lambda r: (r["q"], bytes(r["x"]))) if taken else []
     if not got:
         return None
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), "<f4").reshape(-1, FEATURES).astype(float)
@@ -178,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def scored(docs: DataFrame, field: Field | None, *, text_col: str = "text") -> DataFrame:
-    """The input's columns plus __score, from 0 to 1."""
+    """The input's columns and as the last one a score from 0 to 1, __score (with more underscores where that is taken)."""
     held = docs.sparkSession.sparkContext.broadcast(field)
+    (name,) = free(docs, "__score")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = held.value
@@ -193,10 +208,9 @@ def scored(docs: DataFrame, field: Field | None, *, text_col: str = "text") -> D
                     out.append(field.scores(*line_features(group)) if field else np.full(len(group), 0.5))
                     group, size = [], 0
             made = pa.array(np.concatenate(out) if out else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
-    schema = docs.withColumn("__score", F.lit(0.0)).schema
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +219,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     Each line has two states; its features are its own shares of characters, its repeats within the text
     and the same of the lines before and after.  Only texts enter a score.  Null and empty texts are one
     empty line and have a score like others.  Rows are scored alone, so repeats, ties and null identifiers
-    (never held out) do no harm.  Without a label outside the held-out third every score is 0.5.
+    (never held out) do no harm.  A text is scored whole by one task.  Without a label outside the
+    held-out third every score is 0.5.  Empty tables stay empty; other columns are not looked at.
     """
     field = train(docs, labels, id_col=id_col, text_col=text_col)
     rows = scored(docs.select(F.col(id_col).alias("doc_id"), (remainder(id_col) == 1).alias("held_out"), body(text_col).alias("text")), field)
@@ -213,6 +228,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents scored 0.5 or more, with the columns of the input."""
-    field = train(docs, labels, **options)
-    return scored(docs, field, text_col=options.get("text_col", "text")).where("__score >= 0.5").select(*docs.columns)
+    """The documents scored 0.5 or more, with the columns of the input, whatever their names."""
+    rows = scored(docs, train(docs, labels, **options), text_col=options.get("text_col", "text"))
+    return rows.where(F.col(rows.columns[-1]) >= 0.5).select(*docs.columns)

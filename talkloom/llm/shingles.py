@@ -74,8 +74,9 @@ class Words:
         return self.grams(size)[here], np.concatenate([[0], np.cumsum(many)])
 
 
-def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    inside = ~SPACE[data]
+def split_words(data: np.ndarray, bounds: np.ndarray, gap: np.ndarray = SPACE) -> Words:
+    """`gap` tells the bytes between words."""
+    inside = ~gap[data]
     full = np.flatnonzero(bounds[1:] > bounds[:-1])
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -94,7 +95,7 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(data, bounds, start, end, code, np.searchsorted(start, bounds))
 
 
-def text_groups(column: pa.Array | pa.ChunkedArray, most: int = GROUP_BYTES) -> Iterator[Words]:
+def text_groups(column: pa.Array | pa.ChunkedArray, most: int = GROUP_BYTES, gap: np.ndarray = SPACE) -> Iterator[Words]:
     """The words of a column of texts without nulls, in groups of whole texts."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if not len(chunk):
@@ -106,7 +107,7 @@ def text_groups(column: pa.Array | pa.ChunkedArray, most: int = GROUP_BYTES) ->
         at = 0
         while at < len(chunk):
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
-            yield split_words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+            yield split_words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], gap)
             at = to
 
 

@@ -30,7 +30,7 @@ def awkward(spark):
     texts = [None, "", " \t\n", "one", "one two three four", base, base, " ".join(edited), prose(rng, 40) + " " + passage + " " + prose(rng, 30), prose(rng, 60) + " " + passage, "x" * 900, prose(rng, 30_000)]
     rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None) for i, t in enumerate(texts)]
     rows += [(5, base, "en", "s1", 1), (None, "nobody's words are here today", None, None, None)]
-    clash = ["size", "score", "key", "root", "node", "block", "region", "__x", "keep_id", "component_id"]
+    clash = ["size", "score", "key", "root", "node", "block", "region", "__x", "keep_id", "component_id", "__size", "__copies", "__score", "___score", "__n_hit", "__items", "mark", "kept_id", "row", "doc", "copy", "class", "hash"]
     df = spark.createDataFrame(rows, SCHEMA)
     return rows, df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)]).repartition(3)
 
@@ -125,6 +125,14 @@ def test_mixing_targets_and_copies(spark, data, awkward):
         taken, longest = sum(r["__copies"] * r["__size"] for r in mine), max(r["__size"] for r in mine)
         assert abs(taken - mine[0]["__target"]) <= longest
     assert mixing.mixed_documents(docs).count() == sum(r["__copies"] for r in first)
+    odd = mixing.mixed_documents(awkward[1])
+    assert odd.columns == awkward[1].columns and {r["__size"] for r in odd.collect()} == {10}
+
+
+def test_mixing_sums_fit(spark):
+    rows = 10**12
+    got = spark.sql(f"select {rows}L as p, {2 * mixing.UNIT}L as e, {mixing.UNIT - 1}L as o").select(mixing.crossings(F.col("p"), F.col("e"), F.col("o")).alias("n")).first()
+    assert got["n"] == 2
 
 
 def test_decontamination_on_awkward_rows(spark, awkward):
@@ -136,7 +144,16 @@ def test_decontamination_on_awkward_rows(spark, awkward):
     for size in (1 << 20, 5):  # one block of items, and many
         got = decontamination.contamination_report(df, bench.where("item_id is not null"), item_bytes=size).collect()
         assert {r["doc_id"]: tuple(r)[1:] for r in got} == expected and len(got) == len(rows)
-    assert decontamination.decontaminated(df, bench).columns == df.columns
+    left = decontamination.decontaminated(df, bench.where("item_id is not null"), item_bytes=5)
+    assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, *_ in rows if not expected[i][-1])
+
+
+def test_decontamination_tables_are_bounded():
+    rng = random.Random(2)
+    texts = [prose(rng, 300) for _ in range(300)]
+    made = decontamination.tables(texts)
+    words = made[0].words
+    assert sum(t.nbytes() for t in made) + sum(x.nbytes for x in vars(words).values()) <= 12 * sum(len(t.encode()) for t in texts)
 
 
 def test_near_matches_brute_force(spark, data, awkward):
