@@ -106,6 +106,22 @@ def test_exact_and_ties(awkward):
             assert (r["keep_id"], r["group_size"]) == (best(known) if known else None, len(ids)) and r["kept"] == (r["doc_id"] == r["keep_id"])
 
 
+def test_exact_hot_and_common_contents(spark):
+    """A third of the rows one text, another common one, pairs, and texts that differ behind their heads only."""
+    hot, other = "h" * 300, "h" * 299 + "i"
+    texts = [hot if i % 3 == 0 else other if i % 7 == 0 else f"{'p' * 50}{i // 2}" for i in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in exact.exact_groups(df).collect()}
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t, []).append(i)
+    assert len(got) == len(texts)
+    for t, ids in groups.items():
+        assert all((got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (ids[0], len(ids), i == ids[0], brute.sha(t)) for i in ids)
+    marked = df.select("doc_id", F.encode("text", "UTF-8").alias("content")).withColumn("mark", F.xxhash64("content"))
+    assert 2 <= exact.hot_contents(marked, len(texts), 40).count() <= 160
+
+
 def test_mixing_targets_and_copies(spark, data, awkward):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for df in (docs, awkward[1]):
