@@ -165,13 +165,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, found = held.value
             for batch in batches:
-                n, n_hit, hits, items = [], [], [], []
+                done = 0
                 old_hits, old_items = batch.column(len(kept) + 2), batch.column(len(kept) + 3)
                 texts = batch.column(batch.schema.get_field_index(text_col)).fill_null("")
                 for text in shingles.text_groups(texts, gap=GAP):
                     hit, numbers = search(text, found)
+                    n, n_hit, hits, items = [], [], [], []
                     for i, own in enumerate(numbers):
-                        k = len(n)
+                        k = done + i
                         mine = hit[text.per[i] : text.per[i + 1]]
                         listed = {names[x] for x in own}
                         if old_hits[k].is_valid:  # from an earlier block of items
@@ -182,8 +183,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                         n_hit.append(int(mine.sum()))
                         hits.append(mine.tobytes() if n_hit[-1] else b"")
                         items.append(sorted(x for x in listed if x is not None))
-                made = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[*batch.schema.names])
+                    made = [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                    part = batch.slice(done, len(n))
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=[*batch.schema.names])
+                    done += len(n)
 
         rows = rows.mapInArrow(scan, schema)
         rows = rows if follow is None else cut(rows, "contamination")

@@ -200,15 +200,15 @@ def scored(docs: DataFrame, field: Field | None, *, text_col: str = "text") -> D
         field = held.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            out, group, size = [], [], 0
+            group, size, done = [], 0, 0
             for k, text in enumerate(batch.column(at)):
                 group.append((text.as_py() or "").encode())
                 size += len(group[-1])
-                if size > GROUP_BYTES or k + 1 == batch.num_rows:
-                    out.append(field.scores(*line_features(group)) if field else np.full(len(group), 0.5))
-                    group, size = [], 0
-            made = pa.array(np.concatenate(out) if out else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+                if size > GROUP_BYTES or k + 1 == batch.num_rows:  # small batches go back, whatever came
+                    scores = field.scores(*line_features(group)) if field else np.full(len(group), 0.5)
+                    part = batch.slice(done, len(group))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+                    group, size, done = [], 0, k + 1
 
     return docs.mapInArrow(score, docs.withColumn(name, F.lit(0.0)).schema)
 

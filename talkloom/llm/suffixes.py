@@ -23,6 +23,8 @@ PERIOD = ORDER * ORDER + ORDER + 1
 TAIL = LENGTH - PERIOD + 1
 #: Text bytes of a block of documents, and ranked suffixes of a suffix bucket.
 BLOCK_BYTES, BUCKET_ROWS = 8 << 20, 1 << 20
+#: Files of the table of blocks; beyond so many blocks a file holds several, which are still read one at a time.
+MOST_FILES = 50_000
 #: Groups of suffix buckets that are sorted one after another.
 ROUNDS = 2
 SEGMENT = 1 << 20
@@ -185,9 +187,11 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     3. Only suffixes with a tied sample within PERIOD bytes are still open.  They are keyed by their
        LENGTH bytes and sorted bucket by bucket, in ROUNDS groups of buckets one after another.
     A block sends each key once, so a string that a third of all texts hold costs a bucket one row per
-    block.  Keys are 64-bit hashes of the bytes; a false tie needs two equal hashes in step 3.
+    block.  A block's keys for one bucket are one row, so the rows sent never outnumber the keys.  Keys are
+    64-bit hashes of the bytes; a false tie needs two equal hashes in step 3.
 
-    Null texts are empty; texts shorter than LENGTH lose nothing.  Rows that repeat an identifier count
+    Null texts are empty; texts shorter than LENGTH lose nothing; a text of any length lies in one block,
+    whose task holds it whole.  Rows that repeat an identifier count
     as texts of their own; null identifiers are kept.  Empty tables stay empty.  Other columns are not
     looked at.
     """
@@ -207,13 +211,14 @@ def block_table(rows: DataFrame, total: int) -> Iterator[DataFrame]:
     """
     spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = min(50_000, max(least, math.ceil(total / BLOCK_BYTES)))
+    blocks = max(least, math.ceil(total / BLOCK_BYTES))
+    files = min(MOST_FILES, blocks)
     name = f"blocks_{uuid.uuid4().hex}"
     each = rows.groupBy(F.sha2("text", 256).alias("sha"))
     distinct = each.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("sha"), F.lit(blocks)))
     with settings(spark, **CLEAN):
-        placed.repartition(blocks, "block").write.bucketBy(blocks, "block").format("parquet").saveAsTable(name)
+        placed.repartition(files, "block").write.bucketBy(files, "block").format("parquet").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
