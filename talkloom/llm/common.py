@@ -138,3 +138,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
     drop_table(both)
     return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame, put, name: str = "components") -> DataFrame:
+    """(node, root) of components() once further edges (a, b) join some of them: only their roots are searched again."""
+    ends = labels.select(F.col("node").alias("n"), "root")
+    met = edges.select("a", "b")
+    for end in ("a", "b"):
+        met = met.join(ends, F.col(end) == F.col("n"), "left").withColumn(end, F.coalesce("root", end)).drop("n", "root")
+    moved = components(put(met.where("a <> b").distinct(), f"{name}-roots"), name)
+    to = moved.select(F.col("node").alias("n"), F.col("root").alias("new"))
+    known = labels.join(to, F.col("root") == F.col("n"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    out = put(known.union(moved.join(labels, "node", "left_anti")), f"{name}-extended")
+    drop_table(moved)
+    return out

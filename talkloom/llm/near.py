@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm import shingles
-from talkloom.llm.common import body, components, cut, drop_table, free, scratch
+from talkloom.llm.common import body, components, cut, drop_table, extended, free, scratch
 
 #: Sorted orders (trees), signature values that a candidate pair shares at least, and values per signature.
 TREES, DEPTH = 32, 4
@@ -231,16 +231,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, put) -> DataFrame:
     parts = found.join(labels, found["key"] == labels["node"], "left").select("key", "sig", F.xxhash64(F.coalesce("root", "key")).alias("part"))
     second = put(candidates(parts, TREES, 2), "near-second")
     more = put(linked(docs, found, second.where("b is not null").select("a", "b"), id_col, text_col, put), "near-more")
-    drop_table(labels)
-    links = links.union(more)
-    labels = put(components(links), "near-labels")
+    first_labels, labels = labels, extended(labels, more, put)
+    drop_table(first_labels)
     rest = unsettled(second, labels, put)
     if rest.limit(1).count():
         sets = sets_of(docs, found, rest.select("key"), id_col, text_col, put)
         third = put(shingles.sharing(sets.join(rest, "key"), put), "near-third")
         last = put(shingles.confirmed(third, sets), "near-last")
-        if last.limit(1).count():
-            labels = put(components(links.union(last)), "near-labels")
+        labels = extended(labels, last, put)
     named = labels.join(found.select(F.col("key").alias("node"), "rep_id"), "node")
     smallest = named.groupBy("root").agg(F.min("rep_id").alias("cid"))
     of_class = named.join(smallest, "root").select(F.col("node").alias("key"), "cid")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm import near, shingles, suffixes
-from talkloom.llm.common import body, components, cut, drop_table, scratch
+from talkloom.llm.common import body, components, cut, drop_table, extended, scratch
 
 #: A pair of similarity 0.75 meets in no band with probability (1 - 0.75 ** 2) ** 6 = 0.7 %; a passage has several paragraphs.
 BANDS, ROWS = 6, 2
@@ -231,9 +231,8 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, put) -> DataFrame:
     rest = near.unsettled(met, labels, put)
     if rest.limit(1).count():
         more = put(shingles.confirmed(put(shingles.sharing(sets.join(rest, "key"), put), "paragraph-sharing"), sets), "paragraph-more")
-        if more.limit(1).count():
-            drop_table(labels)
-            labels = components(links.union(more))
+        first_labels, labels = labels, extended(labels, more, put)
+        drop_table(first_labels)
     rooted = units.select("sha", "first_id", "copies", "key", "s", "e").join(labels.select(F.col("node").alias("key"), "root"), "key", "left")
     rooted = put(rooted.select("sha", "first_id", "copies", F.coalesce("root", "key").alias("root"), "s", "e"), "paragraph-rooted")
     place = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "sha", "s", "e")

@@ -414,6 +414,18 @@ def test_components(spark):
     assert {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in got} == want
 
 
+def test_components_extended(spark):
+    rng = random.Random(11)
+    old, new = ([(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(n)] for n in (80, 40))
+    frame = lambda edges: spark.createDataFrame([(a.to_bytes(4, "big"), b.to_bytes(4, "big")) for a, b in edges], "a binary, b binary")
+    got = common.extended(common.components(frame(old)), frame(new), common.cut).collect()
+    edges = [e for e in old + new if e[0] != e[1]]
+    want = brute.components({x for e in edges for x in e}, edges)
+    assert len(got) == len(want) and {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in got} == want
+    none = common.extended(common.components(spark.createDataFrame([], "a binary, b binary")), spark.createDataFrame([], "a binary, b binary"), common.cut)
+    assert none.count() == 0
+
+
 def test_shingles_as_defined():
     for text in ("", " ", "a", "A b\tC d", "a b c d e f a b c d e", "É é x"):
         assert len(shingles.shingle_set(text)) == len(brute.shingles(text))
