@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Input bytes that one shuffle partition of whole texts should hold.
 TEXT_PARTITION_BYTES = 32 << 20
+#: Nodes of a graph up to which its tables of labels are broadcast; beyond, they are joined by shuffle.
+BROADCAST_NODES = 100_000
 
 
 def body(text: str | Column = "text") -> Column:
@@ -116,20 +118,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-0")
+    side = F.broadcast if labels.count() <= BROADCAST_NODES else lambda df: df
     step = 0
     while True:
         step += 1
         near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b")
+            both.join(side(labels.select(F.col("node").alias("b"), F.col("root").alias("r"))), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("r").alias("r"))
         )
-        seen = labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("r"))
+        seen = labels.join(side(near), "node", "left").select("node", F.col("root").alias("old"), F.least("root", "r").alias("r"))
         # every root hears of the smallest label any of its members has met
         hooks = seen.where("r < old").groupBy(F.col("old").alias("h")).agg(F.min("r").alias("hr"))
-        hooked = seen.join(hooks, seen["old"] == hooks["h"], "left").select("node", "old", F.least("r", "hr").alias("r"))
+        hooked = seen.join(side(hooks), seen["old"] == hooks["h"], "left").select("node", "old", F.least("r", "hr").alias("r"))
         jump = labels.select(F.col("node").alias("j"), F.col("root").alias("jr"))
-        moved = hooked.join(jump, hooked["r"] == jump["j"], "left").select("node", "old", F.least("r", "jr").alias("root"))
+        moved = hooked.join(side(jump), hooked["r"] == jump["j"], "left").select("node", "old", F.least("r", "jr").alias("root"))
         new = cut(moved, f"{name}-{step}")
         changed = new.where("root <> old").limit(1).count()
         drop_table(labels)
@@ -142,13 +145,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def extended(labels: DataFrame, edges: DataFrame, put, name: str = "components") -> DataFrame:
     """(node, root) of components() once further edges (a, b) join some of them: only their roots are searched again."""
-    ends = labels.select(F.col("node").alias("n"), "root")
+    side = F.broadcast if labels.count() <= BROADCAST_NODES else lambda df: df
+    ends = side(labels.select(F.col("node").alias("n"), "root"))
     met = edges.select("a", "b")
     for end in ("a", "b"):
         met = met.join(ends, F.col(end) == F.col("n"), "left").withColumn(end, F.coalesce("root", end)).drop("n", "root")
     moved = components(put(met.where("a <> b").distinct(), f"{name}-roots"), name)
     to = moved.select(F.col("node").alias("n"), F.col("root").alias("new"))
+    to = F.broadcast(to) if moved.count() <= BROADCAST_NODES else to
     known = labels.join(to, F.col("root") == F.col("n"), "left").select("node", F.coalesce("new", "root").alias("root"))
-    out = put(known.union(moved.join(labels, "node", "left_anti")), f"{name}-extended")
+    out = put(known.union(moved.join(side(labels), "node", "left_anti")), f"{name}-extended")
     drop_table(moved)
     return out

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
 #: Words whose ids a task remembers before it starts anew; some 150 MB with their pieces.
 WORDS_KEPT = 400_000
+#: Of these the first ones, mostly frequent, stay for the worker's next task.
+WORDS_STAY = 50_000
 
 SEGMENT = (
     "shard int, segment int, dictionary_sha256 string, first_id long, last_id long, start long, n_tokens long, "
@@ -34,6 +38,7 @@ SEGMENT = (
 BETWEEN_WORDS = re.compile(r"[ \n\t\r]+")
 #: Words of these characters are their own NFC form, and lower() maps them one by one to the second set.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+MARKS = frozenset(".,;:!?)")
 PLAIN_TEXT = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
@@ -65,11 +70,11 @@ class Encoder(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.width = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.packing = struct.Struct("<H" if self.width.itemsize == 2 else "<I").pack
+        self.code = "H" if self.width.itemsize == 2 else "I"
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.packing, ids))
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.width).tobytes()
 
     def piece(self, text: str) -> bytes:
         known = self.pieces.get(text)
@@ -78,9 +83,14 @@ class Encoder(dict):
             known = self.pieces[text] = self.packed([t.id for t in self.model.tokenize(letters)])
         return known
 
+    # a word is never empty but where a text begins or ends with white space
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
+        if not word:
+            ids = b""
+        elif word.isascii() and word.isalpha():
             ids = self.piece(word.lower())
+        elif word[-1] in MARKS and word[:-1].isascii() and word[:-1].isalpha():
+            ids = self.piece(word[:-1].lower()) + self.piece(word[-1])
         elif PLAIN.fullmatch(word) and "<|" not in word:
             ids = b"".join(map(self.piece, PIECE.findall(word.lower())))
         else:
@@ -99,8 +109,10 @@ class Encoder(dict):
         return ids
 
     def forget(self) -> None:
+        stay = dict(islice(self.items(), WORDS_STAY)), dict(islice(self.pieces.items(), WORDS_STAY))
         self.clear()
-        self.pieces.clear()
+        self.update(stay[0])
+        self.pieces = stay[1]
 
 
 def encoder(path: str) -> Encoder:
