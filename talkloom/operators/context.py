@@ -13,6 +13,9 @@ RATIO = 1 / 3.6
 MEDIA_CHARS, MEDIA_LEAST = 5_800, 2_000
 OUTPUT_CAP = 40_000
 
+#: Patterns of a table of model families, which is broadcast.
+MOST_FAMILIES = 10_000
+
 
 def size_of(raw_json: Column) -> Column:
     """Characters of a request's JSON; embedded data of more than 2,000 characters counts as 5,800."""
@@ -40,9 +43,10 @@ def overflow(error: Column) -> Column:
 
 
 def learned(feedback: DataFrame) -> DataFrame:
-    """(thread, ratio, limit) after a thread's usage and overflow rows in order.
+    """(thread, model, ratio, limit) after a thread's usage and overflow rows in order.
 
-    feedback: thread, seq, chars, tokens, error.  Usage sets the ratio; an overflow raises it to at least
+    feedback: thread, model, seq, chars, tokens, error.  The ratio is the thread's, a limit holds for the model
+    that gave it; a model without an overflow has none.  Usage sets the ratio; an overflow raises it to at least
     tokens / chars and by a tenth, and lowers the limit.
     """
     rows = feedback.withColumn("o", overflow(F.col("error")))
@@ -53,7 +57,8 @@ def learned(feedback: DataFrame) -> DataFrame:
         return F.when((x["tokens"] > 0) & (x["chars"] > 0), F.when(x["over"], F.greatest(F.coalesce(acc, F.lit(0.0)), now) * F.lit(1.1)).otherwise(now)).otherwise(acc)
 
     ratio = F.aggregate(F.array_sort(F.collect_list(entry)), F.lit(None).cast("double"), step)
-    return rows.groupBy("thread").agg(ratio.alias("ratio"), F.min("o.maximum").alias("limit"))
+    ratios = rows.groupBy("thread").agg(ratio.alias("ratio"))
+    return rows.groupBy("thread", "model").agg(F.min("o.maximum").alias("limit")).join(ratios, "thread").select("thread", "model", "ratio", "limit")
 
 
 def effective_window(window: Column, limit: Column) -> Column:
@@ -62,8 +67,10 @@ def effective_window(window: Column, limit: Column) -> Column:
 
 def model_window(models: DataFrame, families: DataFrame, *, name: str) -> DataFrame:
     """Window of each model by the first matching family pattern (pos, pattern, window), a table the caller gives."""
+    if families.count() > MOST_FAMILIES:
+        raise ValueError(f"more than {MOST_FAMILIES} family patterns")
     distinct = models.select(name).distinct()
-    met = distinct.join(F.broadcast(families.limit(1000)), F.expr(f"{name} rlike pattern"))
+    met = distinct.join(F.broadcast(families), F.expr(f"{name} rlike pattern"))
     best = met.withColumn("__rank", F.row_number().over(W.partitionBy(name).orderBy("pos"))).where("__rank = 1").select(name, "window")
     return models.join(best, name, "left")
 

@@ -18,6 +18,18 @@ NOT_SAID = r"^(unknown|i don.?t know|not sure|n/a|none)\.?$"
 HEDGED = r"unknown|don.?t know|not (?:sure|in (?:my )?context)|can.?t (?:find|tell)|no record"
 
 
+def arm_matrix(scores: DataFrame, *, unit: str, arm: str, value: str, least: int = 3) -> DataFrame:
+    """(a, b, n, mean): mean difference of every arm from every other over the units that have both, arms of `least` units and more.
+
+    Arms are few, so a unit has few rows and the self join stays small.
+    """
+    per = scores.groupBy(unit, arm).agg(F.avg(value).alias("v"))
+    enough = per.groupBy(arm).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(arm)
+    per = per.join(F.broadcast(enough), arm)
+    left, right = per.select(unit, F.col(arm).alias("a"), F.col("v").alias("va")), per.select(unit, F.col(arm).alias("b"), F.col("v").alias("vb"))
+    return left.join(right, unit).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("va") - F.col("vb")).alias("mean"))
+
+
 def tally(rows: DataFrame, key: list[str], hit: Column, *, everything: str = "all") -> DataFrame:
     """Hits, total and rounded per cent for each key and for everything together (one pass of grouping sets)."""
     out = rows.withColumn("__hit", hit.cast("int")).rollup(*key).agg(F.sum("__hit").alias("hits"), F.count(F.lit(1)).alias("total"), F.grouping_id().alias("__g"))

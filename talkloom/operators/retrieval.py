@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
+from talkloom.sources.tables import written
 
 K1, B = 1.2, 0.75
 #: Rows of a query side up to which it is broadcast, or broadcast at once.
@@ -36,7 +37,8 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str, query_terms: Col
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     held = F.broadcast if few else lambda df: df
     wanted = held(asked.select("term").distinct())
-    sized = docs.select(*doc_key, doc_terms.alias("__terms")).withColumn("len", F.size("__terms"))
+    # written once, so that the terms are taken from the texts once and not in each branch below
+    sized = written(docs.select(*doc_key, doc_terms.alias("__terms")).withColumn("len", F.size("__terms")), "terms")
     stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("len").cast("double")).alias("avg"))
     postings = sized.select(*doc_key, "len", F.explode("__terms").alias("term")).join(wanted, "term")
     tf = postings.groupBy(*doc_key, "len", "term").agg(F.count(F.lit(1)).cast("double").alias("f"))
@@ -59,6 +61,19 @@ def ranked(scored: DataFrame, query_id: str, key: list[str], k: int | None = Non
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def vote_pick(ranked_: DataFrame, judged: DataFrame, *, query_id: str, item: str) -> DataFrame:
+    """(query_id, item): the judged item where it is among the two best ranked, else the best ranked; the judged one where none is ranked."""
+    best = ranked_.where("rank <= 2").groupBy(query_id).agg(F.min_by(item, "rank").alias("__first"), F.collect_set(item).alias("__two"))
+    both = best.join(judged.select(query_id, F.col(item).alias("__said")), query_id, "full")
+    said = F.col("__first").isNull() | F.array_contains("__two", F.col("__said"))
+    return both.select(query_id, F.when(said, F.col("__said")).otherwise(F.col("__first")).alias(item))
+
+
+def recency(pool: DataFrame, *, query_id: str, item: str, at: str) -> DataFrame:
+    """Adds rank from 1 by falling time, ties by item."""
+    return pool.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc(at), item)))
+
+
 def fused(lists: list[DataFrame], query_id: str, key: list[str], constant: float = 60.0) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists; constant 0 gives votes of 1 / rank."""
     rows = lists[0].select(query_id, *key, "rank")

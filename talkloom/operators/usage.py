@@ -16,11 +16,14 @@ def best_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFr
 
 
 def deduplicated_usage(lines: DataFrame) -> DataFrame:
-    """Usage lines to one row per response: API rows first, then larger output, larger cache writes, earlier line; placeholders go last."""
+    """Usage lines to one row per response: API rows first, then larger output, larger cache writes, earlier line; placeholders go last.
+
+    Rows without a model stay, as "unknown"; only synthetic ones go.  Lines without a message id are their own.
+    """
     key = F.when(F.col("message_id").isNotNull(), F.concat_ws(":", "message_id", F.coalesce("request_id", F.lit("")))).otherwise(F.concat_ws(":", "file", F.col("line").cast("string")))
     api = F.col("service_tier").isNotNull()
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = lines.where(F.col("model") != "<synthetic>").withColumns({"__key": key, "__api": api})
+    rows = lines.where(~F.col("model").eqNullSafe("<synthetic>")).withColumns({"__key": key, "__api": api})
     best = best_per_key(rows, ["__key"], [F.desc("__api"), n("output_tokens").desc(), n("cache_creation_input_tokens").desc(), F.asc("file"), F.asc("line")])
     placeholder = ~F.col("__api") & (n("input_tokens") == 1000) & (n("cache_read_input_tokens") == 0) & (n("cache_creation_input_tokens") == 0)
     hour = F.least(n("cache_creation_input_tokens"), n("ephemeral_1h_input_tokens"))
@@ -48,6 +51,31 @@ def cost() -> Column:
     return sum_ / F.lit(1e6) * F.when(F.col("fast"), F.lit(FAST)).otherwise(F.lit(1.0))
 
 
+def summarize(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Per group (or over all): requests, tokens, dollars of the priced rows and how many have no price; rows carry cost() as dollars."""
+    n = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("requests"), n("input", "input"), n("output", "output"), n(F.col("cache_write_5m") + F.col("cache_write_1h"), "cache_write"), n("cache_read", "cache_read"),
+        F.coalesce(F.sum("dollars"), F.lit(0.0)).alias("cost"), F.count_if(F.col("dollars").isNull()).alias("unpriced"),
+    )
+
+
+def by_model(rows: DataFrame) -> DataFrame:
+    """summarize() per model with its place by falling cost, then requests, and its share of all dollars; no share where a price is missing.
+
+    Only the models' own rows, a handful, are ranked in one partition.
+    """
+    per = summarize(rows, "model")
+    total = F.sum("cost").over(W.partitionBy())
+    share = F.when((total > 0) & (F.col("unpriced") == 0), F.col("cost") / total)
+    return per.withColumns({"share": share, "place": F.row_number().over(W.orderBy(F.desc("cost"), F.desc("requests"), "model"))})
+
+
+def hit_rate(read: Column, write: Column, uncached: Column) -> Column:
+    """Share of the input that came from the cache; null without input."""
+    return F.try_divide(read.cast("double"), (read + write + uncached).cast("double"))
+
+
 def rates() -> tuple[Column, Column]:
     """Dollars per cached token read and written; without writes the hour rate."""
     writes = F.col("cache_write_5m") + F.col("cache_write_1h")

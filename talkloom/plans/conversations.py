@@ -29,9 +29,9 @@ def turn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the same opening occurs over all conversations, for openings that repeat."""
+    """How often openings begin with the same five characters over all conversations, for those that repeat."""
     first = split(spark, sf_dir).where("turn_no > 0").groupBy("conv_id", "turn_no").agg(F.min_by("text", "turn").alias("text"))
-    prints = first.groupBy(T.short_hash(F.col("text"), 24).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_conv"))
+    prints = first.groupBy(T.short_hash(F.substring("text", 1, 5), 24).alias("print")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_conv"))
     return prints.where("n > 1")
 
 
@@ -250,7 +250,7 @@ ORACLE_SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, print ORDER BY turn_no) - 1 AS again FROM f)
         SELECT conv_id, turn_no, CASE WHEN again = 0 THEN print ELSE print || '~' || again END AS key FROM k""",
     "turn_repeat": f"""
-        WITH {SPLIT_SQL}, f AS (SELECT conv_id, turn_no, left(sha256(arg_min(text, turn)), 24) AS print FROM s WHERE turn_no > 0 GROUP BY ALL)
+        WITH {SPLIT_SQL}, f AS (SELECT conv_id, turn_no, left(sha256(left(arg_min(text, turn), 5)), 24) AS print FROM s WHERE turn_no > 0 GROUP BY ALL)
         SELECT print, count(*) AS n, count(DISTINCT conv_id) AS n_conv FROM f GROUP BY print HAVING count(*) > 1""",
     "live_prompt": f"""
         WITH {SPLIT_SQL}, f AS (SELECT conv_id, turn_no, arg_min(text, turn) AS prompt FROM s WHERE turn_no > 0 GROUP BY ALL)

@@ -9,13 +9,6 @@ from talkloom.plans.common import table
 from talkloom.streaming import jobs
 
 
-def usage_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event per user, type and hour: the largest value, earlier rows on ties."""
-    events = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    best = usage.best_per_key(events, ["user_id", "event_type", "hour"], [F.desc("value"), F.asc("event_id")])
-    return best.select("user_id", "event_type", "event_id", "value")
-
-
 PRICES = [(0, "PROMO", 1.0), (1, "STANDARD-POLISHED", 2.0), (2, "STANDARD", 3.0), (3, "SMALL", 4.0)]
 
 
@@ -128,8 +121,8 @@ def p95_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, by segment."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order, by segment."""
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -180,7 +173,7 @@ def events_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (usage_dedupe, price_prefix_join, asof_nearest, daily_buckets_zero_filled, weekly_monday, rollup_total, per_session_last, request_totals, thread_peaks, resetting_offset, model_share,
+    for f in (price_prefix_join, asof_nearest, daily_buckets_zero_filled, weekly_monday, rollup_total, per_session_last, request_totals, thread_peaks, resetting_offset, model_share,
               upper_median, p95_floor, anti_kept, range_earlier, overlap_intersect, runner_up_gate, top_per_group, events_tumbling, events_session_window)
 }
 
@@ -193,9 +186,6 @@ def _nth_sql(share: str, name: str) -> str:
 
 
 ORACLE_SQL = {
-    "usage_dedupe": """
-        SELECT user_id, event_type, event_id, value FROM events
-        QUALIFY row_number() OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY value DESC, event_id) = 1""",
     "price_prefix_join": """
         WITH p(pos, prefix, rate) AS (VALUES (0, 'PROMO', 1.0::DOUBLE), (1, 'STANDARD-POLISHED', 2.0), (2, 'STANDARD', 3.0), (3, 'SMALL', 4.0)),
         m AS (SELECT p_partkey, p_retailprice, prefix, rate FROM (SELECT *, replace(p_type, ' ', '-') AS model FROM part) LEFT JOIN p ON model = prefix OR starts_with(model, prefix || '-')
@@ -224,7 +214,7 @@ ORACLE_SQL = {
         SELECT p_brand, n, round(r, 2) AS revenue, round(r / sum(r) OVER (), 6) AS share FROM p""",
     "upper_median": _nth_sql("0.5", "median"),
     "p95_floor": _nth_sql("0.95", "p95"),
-    "anti_kept": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment",
+    "anti_kept": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY c_mktsegment",
     "range_earlier": """
         SELECT o_orderkey, count(*) OVER w AS n_before, coalesce(sum((o_orderpriority = '1-URGENT')::INT) OVER w, 0)::BIGINT AS n_urgent FROM orders
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)""",

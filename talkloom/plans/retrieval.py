@@ -186,7 +186,7 @@ OUTLINE_SQL = f"""
 def recall_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of documents recalled for each benchmark item under a budget of 2,000 characters."""
     windows = R.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
-    chunks = windows.select((F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk"), F.col("doc_id").alias("turn"), F.lit(None).cast("string").alias("source"), F.lit("document").alias("call"), "lines")
+    chunks = windows.select((F.col("doc_id") * (1 << 24) + F.col("chunk")).alias("chunk"), F.col("doc_id").alias("turn"), F.lit(None).cast("string").alias("source"), F.lit("document").alias("call"), "lines")
     return R.recall(table(spark, sf_dir, "benchmark"), chunks, prompt_id="item_id", prompt="text", most=2000, most_multi=3000)
 
 

@@ -12,13 +12,17 @@ REQUEST = (
 
 
 def lines(spark: SparkSession, path: str, *, modified_after: str | None = None, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """(file, modified, value) of text lines; old files are pruned before they are opened."""
+    """(file, modified, line, value) of text lines; old files are pruned before they are opened.
+
+    line orders the lines of a file: the start of the block that was read, then the number of the row within
+    the scan, which rises along a block.  Streams have no such number; there only the block is known.
+    """
     reader = spark.readStream if stream else spark.read
     if modified_after and not stream:
         reader = reader.option("modifiedAfter", modified_after)
     if stream and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.struct(F.col("_metadata.file_block_start").alias("block"), (F.lit(None).cast("long") if stream else F.monotonically_increasing_id()).alias("row")).alias("line"), "value")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def joined_text(blocks_: Column) -> Column:
 def session_entries(rows: DataFrame) -> DataFrame:
     """The typed core of session lines, the raw line kept."""
     return parsed(rows).select(
-        "file", "block", field("type").alias("type"), field("subtype").alias("subtype"), F.coalesce(field("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
+        "file", "line", field("type").alias("type"), field("subtype").alias("subtype"), F.coalesce(field("isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
         F.coalesce(field("isMeta", "boolean"), F.lit(False)).alias("is_meta"), F.coalesce(field("isCompactSummary", "boolean"), F.lit(False)).alias("is_summary"),
         field("agentId").alias("agent_id"), field("timestamp").alias("ts"), field("cwd").alias("cwd"), field("message.role").alias("role"),
         blocks(field("message.content", "variant")).alias("blocks"), F.col("value").alias("raw"),
@@ -62,14 +66,14 @@ def messages(entries: DataFrame, sidechain: bool | None = False) -> DataFrame:
     return rows if sidechain is None else rows.where(F.col("is_sidechain") == sidechain)
 
 
-def usage_lines(rows: DataFrame) -> DataFrame:
-    """Usage rows; lines without the marker are dropped before anything is parsed."""
+def usage_lines(rows: DataFrame, since_ms: int | None = None) -> DataFrame:
+    """Usage rows from `since_ms` on; lines without the marker are dropped before anything is parsed, those without message.usage or a time after."""
     u = lambda n, t="bigint": field(f"message.usage.{n}", t)
     return parsed(rows.where(F.contains("value", F.lit('"usage"')))).select(
-        "file", F.xxhash64("value").alias("line"), F.unix_millis(F.try_to_timestamp(field("timestamp"))).alias("at"), field("message.id").alias("message_id"), field("requestId").alias("request_id"),
+        "file", "line", field("message.usage", "variant").isNotNull().alias("used"), F.unix_millis(F.try_to_timestamp(field("timestamp"))).alias("at"), field("message.id").alias("message_id"), field("requestId").alias("request_id"),
         field("message.model").alias("model"), u("input_tokens").alias("input_tokens"), u("output_tokens").alias("output_tokens"), u("cache_creation_input_tokens").alias("cache_creation_input_tokens"),
         u("cache_read_input_tokens").alias("cache_read_input_tokens"), u("cache_creation.ephemeral_1h_input_tokens").alias("ephemeral_1h_input_tokens"), u("service_tier", "string").alias("service_tier"), u("speed", "string").alias("speed"),
-    ).where("at is not null")
+    ).where("at is not null and used").drop("used").where(F.lit(True) if since_ms is None else F.col("at") >= since_ms)
 
 
 def request_log(spark: SparkSession, path: str) -> DataFrame:

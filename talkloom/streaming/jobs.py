@@ -27,7 +27,7 @@ def compaction_alerts(rows: DataFrame) -> DataFrame:
         hits = []
         for r in frame.itertuples(index=False):
             hit = r.plain - offset > COMPACT_AT * r.window
-            offset = r.plain - (r.fixed or 0) - SUMMARY_TOKENS if hit else offset
+            offset = r.plain - (0.0 if pd.isna(r.fixed) else r.fixed) - SUMMARY_TOKENS if hit else offset
             hits.append(hit)
         state.update((float(offset),))
         state.setTimeoutDuration(86_400_000)
@@ -53,13 +53,13 @@ def sessions(events: DataFrame, *, at: str, gap: str, late: str, key: str, aggre
     return rows.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *[c for c in rows.columns if c not in ("session_window", key)])
 
 
-def write_once(stream: DataFrame, path: str, checkpoint: str, key: list[str]):
-    """A sink that takes each key once: a repeated batch overwrites its own folder, repeated keys are dropped by state."""
+def write_once(stream: DataFrame, path: str, checkpoint: str, key: list[str], *, at: str, late: str = "1 day"):
+    """A sink that takes each key once: a repeated batch overwrites its own folder, keys repeated within `late` of each other's time `at` are dropped by state, which goes behind the watermark."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.dropDuplicates(key).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def next_watch(misses: Column, alive: Column, most: int = 2) -> Column:

@@ -51,9 +51,9 @@ def test_sizes_and_feedback(spark):
     df = spark.createDataFrame([(raw, "Prompt is too long: 210000 tokens > 200000 maximum"), ("{}", "other")], "j string, e string")
     got = df.select(context.size_of(F.col("j")).alias("s"), context.overflow(F.col("e")).alias("o")).collect()
     assert got[0]["s"] == len(raw) - 3000 + 5800 and tuple(got[0]["o"]) == (210000, 200000) and got[1]["o"] is None
-    rows = spark.createDataFrame([("t", 1, 100, 50, None), ("t", 2, 100, None, "prompt is too long: 80 tokens > 70"), ("u", 1, 0, 5, None)], "thread string, seq long, chars long, tokens long, error string")
-    learned = {r["thread"]: (r["ratio"], r["limit"]) for r in context.learned(rows).collect()}
-    assert abs(learned["t"][0] - 0.88) < 1e-9 and learned["t"][1] == 70 and learned["u"] == (None, None)
+    rows = spark.createDataFrame([("t", "m", 1, 100, 50, None), ("t", "m", 2, 100, None, "prompt is too long: 80 tokens > 70"), ("t", "big", 0, 100, 10, None), ("u", "m", 1, 0, 5, None)], "thread string, model string, seq long, chars long, tokens long, error string")
+    learned = {r["thread"] + r["model"]: (r["ratio"], r["limit"]) for r in context.learned(rows).collect()}
+    assert abs(learned["tm"][0] - 0.88) < 1e-9 and learned["tm"][1] == 70 and learned["tbig"] == (learned["tm"][0], None) and learned["um"] == (None, None)
 
 
 def test_labels_of_calls(spark):

@@ -95,6 +95,28 @@ def test_usage_lines_dedupe_and_price(spark, tmp_path):
     assert abs(row["cost"] - (10 * 3 + 300 * 15 + 5 * 0.3 + 60 * 3 * 1.25 + 40 * 3 * 2) / 1e6) < 1e-12
 
 
+def test_lines_keep_their_order_and_equal_lines_count(spark, tmp_path):
+    usage_ = {"input_tokens": 1, "output_tokens": 2, "service_tier": "standard"}
+    line = json.dumps({"timestamp": "2026-01-05T10:00:00.000Z", "message": {"usage": usage_}})
+    late = json.dumps({"timestamp": "2026-01-06T10:00:00.000Z", "message": {"usage": usage_ | {"output_tokens": 3}}})
+    other = json.dumps({"timestamp": "2026-01-05T10:00:00.000Z", "message": {"text": "usage"}, "usage": 1})
+    (tmp_path / "s.jsonl").write_text("\n".join([line, other, line, late]))
+    rows = logs.lines(spark, str(tmp_path))
+    got = usage.deduplicated_usage(logs.usage_lines(rows)).collect()
+    assert sorted((r["model"], r["output"]) for r in got) == [("unknown", 2), ("unknown", 2), ("unknown", 3)]
+    assert usage.deduplicated_usage(logs.usage_lines(rows, since_ms=1767657600000)).count() == 1
+    said = "\n".join(json.dumps({"type": "user", "message": {"role": "user", "content": f"{i} " + "x" * 200}}) for i in range(3000))
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "t.jsonl").write_text(said)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        entries = logs.messages(logs.session_entries(logs.lines(spark, str(tmp_path / "big")))).repartition(7)
+        texts = [r["blocks"][0]["text"] for r in entries.orderBy("file", "line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [int(t.split()[0]) for t in texts] == list(range(3000))
+
+
 LOG = "thread string, seq long, ts string, input long, charsIn long, charsOut long, charsFixed long, cacheRead long, cacheWrite long, uncached long, compacted boolean, turns int, window long"
 
 

@@ -7,7 +7,7 @@ from talkloom.streaming import jobs
 
 
 def test_compaction_state_matches_batch(spark, tmp_path):
-    rows = [(f"t{i % 3}", i, float(i % 17 * 1000), 10.0, 9000.0) for i in range(120)]
+    rows = [(f"t{i % 3}", i, float(i % 17 * 1000), None if i % 5 == 0 else 10.0, 9000.0) for i in range(120)]
     df = spark.createDataFrame(rows, "thread string, seq long, plain double, fixed double, window double")
     for k in range(3):
         df.where(f"seq >= {k * 40} and seq < {k * 40 + 40}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -20,10 +20,10 @@ def test_compaction_state_matches_batch(spark, tmp_path):
 
 
 def test_write_once(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string").withColumn("at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    jobs.write_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["id"]).awaitTermination(120)
+    jobs.write_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["id"], at="at").awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
 
 
