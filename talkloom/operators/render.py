@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from talkloom.functions import text as T
 
+# Sentences of the rendered files.
 NO_REPLY = "_No final reply: the turn was interrupted or is still running._"
+NO_FINAL = "_(no final reply)_"
+INDEX_TITLE, INDEX_HEAD = "# Session index", "One line per turn: what the user asked → how the turn ended. Open turn-NNNN.{extension} for everything that happened in it."
 
 
 def turn_file(number: Column, extension: str = "md") -> Column:
@@ -61,8 +64,7 @@ def xml() -> Column:
 
 def index(turns: DataFrame, thread: str, extension: str = "md") -> DataFrame:
     """(thread, content): one line per turn, in order."""
-    final = F.when(F.col("final") != "", T.clip(F.col("final"), 160)).otherwise("_(no final reply)_")
+    final = F.when(F.col("final") != "", T.clip(F.col("final"), 160)).otherwise(NO_FINAL)
     line = F.concat(F.lit("- **"), turn_file(F.col("number"), extension), F.lit("** ("), F.col("time"), F.lit(", "), F.col("calls").cast("string"), F.lit(" calls): "), T.clip(F.col("prompt"), 140), F.lit(" → "), final)
     rows = turns.groupBy(thread).agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))).alias("ls"))
-    head = f"One line per turn: what the user asked → how the turn ended. Open turn-NNNN.{extension} for everything that happened in it."
-    return rows.select(thread, _lines("# Session index", "", head, "", F.array_join(F.transform("ls", lambda l: l["line"]), "\n"), "").alias("content"))
+    return rows.select(thread, _lines(INDEX_TITLE, "", INDEX_HEAD.format(extension=extension), "", F.array_join(F.transform("ls", lambda l: l["line"]), "\n"), "").alias("content"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from talkloom.functions import text as T
-from talkloom.operators import evals, evidence, fold, render, replay, turns
+from talkloom.operators import evals, evidence, fold, render, turns
 from talkloom.plans.common import table
 from talkloom.plans.retrieval import terms_sql
 
@@ -162,12 +162,6 @@ def fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.rolling_cut(_turn_sizes(spark, sf_dir), thread="conv_id", turn="turn", size="size", keep=1, budget=400)
 
 
-def replay_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split(spark, sf_dir).select("conv_id", F.col("turn").alias("seq"), F.col("turn_no").alias("turn"), "role", F.length("text").cast("long").alias("chars"))
-    rows = rows.withColumn("folded", F.least("chars", F.lit(200)))
-    return replay.replay(rows, thread="conv_id", seq="seq", window=2000, fixed_tokens=100, keep=1, budget=100)
-
-
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as Markdown: assistant text before the last is narration."""
     part = "struct<kind:string,n:int,name:string,call:string,body:string,output:string,error:boolean,text:string>"
@@ -240,7 +234,7 @@ def first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (turn_split, turn_keys, turn_repeat, live_prompt, reply_pairs, salient_lines, line_score_hist, evidence_budget, folded_view_cap, carry_dedupe, budget_sweep, fold_state, replay_costs,
+    for f in (turn_split, turn_keys, turn_repeat, live_prompt, reply_pairs, salient_lines, line_score_hist, evidence_budget, folded_view_cap, carry_dedupe, budget_sweep, fold_state,
               render_markdown, tally_by_bucket, verdict_table, paired_delta, bootstrap_ci, extract_json, first_hit)
 }
 ORACLE_SQL = {

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
-from talkloom.operators import evals, evidence, fold, render, replay, retrieval, turns, usage
+from talkloom.operators import evals, evidence, fold, render, retrieval, turns, usage
 from talkloom.sources import logs
 
 BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
@@ -206,12 +206,6 @@ def test_render(spark):
     assert re.search(r"- \*\*turn-0001\.md\*\* \(2026-01-01 10:00, 1 calls\): do it → done", render.index(df.withColumn("t", F.lit(1)), "t").first()["content"])
 
 
-def test_replay_counts_folds(spark):
-    rows = [("s", i, "user" if i % 2 == 0 else "assistant", i // 2 + 1, 1000, 100) for i in range(20)]
-    df = spark.createDataFrame(rows, "thread string, seq long, role string, turn int, chars long, folded long")
-    got = replay.replay(df, thread="thread", seq="seq", window=100_000, fixed_tokens=10, keep=1, budget=500).first()
-    assert got["requests"] == 10 and got["turns"] == 10 and got["folds"] > 2 and got["folded_tokens"] < got["plain_tokens"] and got["compactions"] == 0
-
 
 def test_session_log_source(spark, tmp_path):
     rows = [
