@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
+from talkloom.operators.walks import walk
+
+#: Budgets that one sweep may compare.
+MOST_BUDGETS = 1_000
 
 
 def folded_view(turns: DataFrame, *, thread: str, turn: str, full: Column, short: Column, cap: int) -> DataFrame:
@@ -63,23 +68,24 @@ def rolling_cut(turns: DataFrame, *, thread: str, turn: str, size: str, keep: in
     """(thread, turn, cut, rolled): where the fold stands when each turn opens.
 
     The cut moves to the last `keep` turns once the foldable turns before them weigh more than the budget,
-    so the kept prefix changes in steps.  The rule feeds back into itself: one ordered fold per thread.
+    so the kept prefix changes in steps.  The rule feeds back into itself: a walk along each thread that
+    carries the last `keep` sizes.  Null sizes count as 0.
     """
-    order = F.array_sort(F.collect_list(F.struct(F.col(turn).cast("bigint").alias("turn"), F.col(size).cast("bigint").alias("size"))))
-    entry = "struct<turn:bigint,cut:bigint,rolled:boolean>"
-    kind = f"struct<cut:bigint,seen:array<bigint>,out:array<{entry}>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("cut"), F.array().cast("array<bigint>").alias("seen"), F.array().cast(f"array<{entry}>").alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        seen = F.concat(acc["seen"], F.array(x["size"]))
-        edge = F.greatest(F.size(seen) - F.lit(keep), F.lit(0))
-        backlog = F.aggregate(F.slice(seen, acc["cut"].cast("int") + 1, F.greatest(edge - acc["cut"].cast("int"), F.lit(0))), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+    def start() -> list:
+        return [deque(), 0, 0, 0]  # sizes of the last turns, backlog before them, turns seen, cut
+
+    def step(state: list, at: int, size: int) -> tuple:
+        last, backlog, seen, cut = state
+        last.append(size)
+        seen += 1
+        backlog += last.popleft() if len(last) > keep else 0
         roll = backlog > budget
-        cut = F.when(roll, edge.cast("bigint")).otherwise(acc["cut"])
-        return F.struct(cut.alias("cut"), seen.alias("seen"), F.concat(acc["out"], F.array(F.struct(x["turn"].alias("turn"), cut.alias("cut"), roll.alias("rolled")))).alias("out")).cast(kind)
+        cut = max(seen - keep, 0) if roll else cut
+        state[1:] = [0 if roll else backlog, seen, cut]
+        return at, cut, roll
 
-    walked = turns.groupBy(thread).agg(F.aggregate(order, start, step).alias("w"))
-    return walked.select(thread, F.explode("w.out").alias("x")).select(thread, "x.*")
+    return walk(turns, key=thread, order=turn, values={"size": _size(size)}, start=start, step=step, schema="turn bigint, cut bigint, rolled boolean")
 
 
 def shrink_steps(threads: DataFrame, *, limit: str = "target") -> DataFrame:
@@ -106,18 +112,31 @@ def shrink_steps(threads: DataFrame, *, limit: str = "target") -> DataFrame:
 
 
 def budget_sweep(turns: DataFrame, budgets: DataFrame, *, thread: str, turn: str, size: str, keep: int = 3) -> DataFrame:
-    """(budget, thread, steps, peak): folds and largest unfolded size for each budget of a small list."""
-    order = F.array_sort(F.collect_list(F.struct(F.col(turn).cast("bigint").alias("t"), F.col(size).cast("bigint").alias("size"))))
-    per = turns.groupBy(thread).agg(F.transform(order, lambda x: x["size"]).alias("sizes")).crossJoin(F.broadcast(budgets))
-    kind = "struct<live:bigint,tail:array<bigint>,steps:bigint,peak:bigint>"
-    start = F.struct(F.lit(0).cast("bigint").alias("live"), F.array().cast("array<bigint>").alias("tail"), F.lit(0).cast("bigint").alias("steps"), F.lit(0).cast("bigint").alias("peak")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        tail = F.concat(acc["tail"], F.array(x))
-        kept = F.slice(tail, F.greatest(F.size(tail) - F.lit(keep) + 1, F.lit(1)), F.lit(keep))
-        total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
-        roll = total(tail) - total(kept) > F.col("budget")
-        left = F.when(roll, kept).otherwise(tail)
-        return F.struct(total(left).alias("live"), left.alias("tail"), (acc["steps"] + roll.cast("bigint")).alias("steps"), F.greatest(acc["peak"], total(tail)).alias("peak")).cast(kind)
-
-    return per.select("budget", thread, F.aggregate("sizes", start, step).alias("w")).select("budget", thread, "w.steps", "w.peak")
+    """(budget, thread, steps, peak): folds and largest unfolded size for each of at most MOST_BUDGETS budgets.
+
+    A larger set of budgets is an error.  Null sizes count as 0.
+    """
+    asked = sorted({r["budget"] for r in budgets.select("budget").limit(MOST_BUDGETS + 1).collect()})
+    if len(asked) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+
+    def start() -> list:
+        return [deque(), 0, *[[b, 0, 0, 0] for b in asked]]  # the last sizes, their sum, (budget, backlog, folds, peak)
+
+    def step(state: list, at: int, size: int) -> None:
+        last = state[0]
+        last.append(size)
+        gone = last.popleft() if len(last) > keep else 0
+        state[1] += size - gone
+        for per in state[2:]:
+            per[1] += gone
+            per[3] = max(per[3], per[1] + state[1])
+            if per[1] > per[0]:
+                per[1:3] = [0, per[2] + 1]
+
+    found = walk(turns, key=thread, order=turn, values={"size": _size(size)}, start=start, step=step, schema="budget bigint, steps bigint, peak bigint", finish=lambda state: [(b, n, peak) for b, _, n, peak in state[2:]])
+    return found.select("budget", thread, "steps", "peak")
+
+
+def _size(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("bigint"), F.lit(0).cast("bigint"))

@@ -69,6 +69,15 @@ def vote_pick(ranked_: DataFrame, judged: DataFrame, *, query_id: str, item: str
     return both.select(query_id, F.when(said, F.col("__said")).otherwise(F.col("__first")).alias(item))
 
 
+def term_pool(chunks: DataFrame, terms: Column, *, least: int = 2, share: float = 0.25, letters: int = 4, most: int = 400) -> DataFrame:
+    """(term, df): the `most` most frequent terms of `letters` characters and more in at least `least` chunks and at most a share of them."""
+    rows = chunks.select(F.array_distinct(terms).alias("__ts"))
+    n = rows.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    df = rows.select(F.explode("__ts").alias("term")).where(F.length("term") >= letters).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    fit = df.crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.col("__n") * share))
+    return fit.select("term", "df").orderBy(F.desc("df"), "term").limit(most)
+
+
 def recency(pool: DataFrame, *, query_id: str, item: str, at: str) -> DataFrame:
     """Adds rank from 1 by falling time, ties by item."""
     return pool.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc(at), item)))

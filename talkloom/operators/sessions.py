@@ -125,3 +125,34 @@ def with_settings(sessions: DataFrame, settings: DataFrame, *, key: str, names:
     own = settings.select(key, *[F.col(n).alias(f"__{n}") for n in names])
     out = sessions.join(own, key, "left")
     return out.withColumns({n: F.coalesce(f"__{n}", n) for n in names}).drop(*[f"__{n}" for n in names])
+
+
+def discovered(catalogue: DataFrame, *, group: str = "cwd", least: int = 15, prefix: int = 200) -> DataFrame:
+    """Sessions to choose among: `least` prompts and more, one of those whose outlines begin alike (the first id), groups of two and more; place from the newest."""
+    rows = catalogue.where(F.size("asks") >= least)
+    alike = W.partitionBy(group, F.substring("outline", 1, prefix)).orderBy("id")
+    one = rows.withColumn("__rank", F.row_number().over(alike)).where("__rank = 1").drop("__rank")
+    enough = one.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2").select(group)
+    return one.join(enough, group, "left_semi").withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc("mtime"), "id")))
+
+
+def recent_outline(asks: Column, count: int = 10) -> Column:
+    """The last `count` prompts with their numbers in the session."""
+    first = F.greatest(F.size(asks) - count, F.lit(0))
+    return F.array_join(F.transform(F.slice(asks, first + 1, F.lit(count)), lambda a, i: F.concat((first + i + 1).cast("string"), F.lit(". "), a)), "\n")
+
+
+def pull_report(runs: DataFrame, calls: DataFrame, *, arm: list[str]) -> DataFrame:
+    """(arm, runs, pulled, loaded, right, commands): runs that looked up or loaded an earlier session, and whether it was always the right one.
+
+    runs: run_id, arm columns, source; calls: run_id, kind (load, peek or another), source.  right counts
+    runs whose every load or peek names their source; commands are the mean calls of a run.
+    """
+    pull = F.col("kind").isin("load", "peek")
+    wanted = runs.select("run_id", F.col("source").alias("__own"))
+    per = calls.join(wanted, "run_id").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(pull).alias("pulls"), F.count_if(F.col("kind") == "load").alias("loads"), F.count_if(pull & F.col("source").eqNullSafe(F.col("__own"))).alias("fits")
+    )
+    rows = runs.join(per, "run_id", "left").fillna(0, ["n", "pulls", "loads", "fits"])
+    hit = F.col("pulls") > 0
+    return rows.groupBy(*arm).agg(F.count(F.lit(1)).alias("runs"), F.count_if(hit).alias("pulled"), F.count_if(F.col("loads") > 0).alias("loaded"), F.count_if(hit & (F.col("fits") == F.col("pulls"))).alias("right"), F.avg("n").alias("commands"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
+from talkloom.operators.walks import walk
 
 WRITE_5M, WRITE_1H, FAST = 1.25, 2.0, 2.0
 COMPACT_AT, SUMMARY_TOKENS = 0.92, 8_333
@@ -131,18 +132,16 @@ def totals(log: DataFrame) -> DataFrame:
 
 def resetting_offset(rows: DataFrame, *, key: str, order: str, plain: str, fixed: str, window: Column, at: float = COMPACT_AT, summary: int = SUMMARY_TOKENS) -> DataFrame:
     """(key, order, hit): rows where the size since the last reset passes at * window; a hit resets to plain - fixed - summary."""
-    entry = "struct<o:bigint,hit:boolean>"
-    kind = f"struct<offset:double,out:array<{entry}>>"
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(plain).cast("double").alias("p"), F.col(fixed).cast("double").alias("f"), window.cast("double").alias("w"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = x["p"] - acc["offset"] > F.lit(at) * x["w"]
-        offset = F.when(hit, x["p"] - F.coalesce(x["f"], F.lit(0.0)) - F.lit(float(summary))).otherwise(acc["offset"])
-        return F.struct(offset.alias("offset"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), hit.alias("hit")))).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(0.0).alias("offset"), F.array().cast(f"array<{entry}>").alias("out")).cast(kind)
-    walked = rows.groupBy(key).agg(F.aggregate(items, start, step).alias("w"))
-    return walked.select(key, F.explode("w.out").alias("x")).select(key, F.col("x.o").alias(order), F.col("x.hit").alias("hit"))
+
+    def step(state: list, o: int, p: float, f: float, w: float) -> tuple:
+        hit = bool(p - state[0] > at * w)  # a missing size or window never hits
+        if hit:
+            state[0] = p - f - summary
+        return o, hit
+
+    number = lambda c: c.cast("double")
+    values = {"p": number(F.col(plain)), "f": number(F.coalesce(F.col(fixed), F.lit(0))), "w": number(window)}
+    return walk(rows, key=key, order=order, values=values, start=lambda: [0.0], step=step, schema=f"{order} bigint, hit boolean")
 
 
 def native_compactions(log: DataFrame) -> DataFrame:

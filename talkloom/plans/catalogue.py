@@ -229,11 +229,27 @@ def deferred_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.deferred(judged, query="user_id", least=40.0)
 
 
+def sessions_to_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of two prompts and more whose outlines differ in the first 20 characters."""
+    return sessions.discovered(_catalogue(spark, sf_dir), least=2, prefix=20).select("cwd", "id", "place")
+
+
+def recent_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalogue(spark, sf_dir).select("id", F.sha2(sessions.recent_outline(F.col("asks"), 2), 256).alias("sha"))
+
+
+def pull_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs with their first line's supplier modulo 5 as source, lines as calls."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", (F.col("l_suppkey") % 5).alias("source"), F.when(F.col("l_returnflag") == "R", "load").when(F.col("l_returnflag") == "A", "peek").otherwise("list").alias("kind"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderpriority", (F.col("o_custkey") % 5).alias("source"))
+    return sessions.pull_report(orders, lines, arm=["o_orderpriority"]).withColumn("commands", F.round("commands", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (usage_dedupe, usage_by_model, usage_by_day, usage_summary, cache_rates, session_outlines, session_candidates, session_copies, session_recency, unrouted_sessions, session_settings, recent_users, saved_recalls,
               session_handoffs, grades_mean, labels_pooled, judge_agreement, question_shapes, arm_matrix, tool_lookups, lookup_hits, item_retention, tuned_parameters, half_split, closest_name, probability_order,
-              picked_first, best_or_first, vote_pick, deferred_pick)
+              picked_first, best_or_first, vote_pick, deferred_pick, sessions_to_choose, recent_asks, pull_report)
 }
 RANK_SQL = "s AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal / 10000 END AS p FROM supplier), r AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(p, 0) DESC, s_suppkey) AS rank FROM s)"
 ORACLE_SQL = {
@@ -252,6 +268,16 @@ ORACLE_SQL = {
     "session_copies": f"""
         WITH {ASKS_SQL} SELECT id, mtime FROM c QUALIFY row_number() OVER (PARTITION BY list_transform(asks[1:2], lambda a: left(a, 8)) ORDER BY mtime, id) = 1""",
     "session_recency": f"WITH {ASKS_SQL} SELECT cwd, id, row_number() OVER (PARTITION BY cwd ORDER BY mtime DESC, id) AS rank FROM c QUALIFY rank <= 5",
+    "sessions_to_choose": f"""
+        WITH {ASKS_SQL}, e AS (SELECT *, array_to_string(list_transform(asks, lambda a, i: i || '. ' || a), chr(10)) AS outline FROM c WHERE len(asks) >= 2),
+        d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY cwd, left(outline, 20) ORDER BY id) = 1)
+        SELECT cwd, id, row_number() OVER (PARTITION BY cwd ORDER BY mtime DESC, id) AS place FROM d QUALIFY count(*) OVER (PARTITION BY cwd) >= 2""",
+    "recent_asks": f"""
+        WITH {ASKS_SQL} SELECT id, sha256(array_to_string(list_transform(asks[-2:], lambda a, i: (greatest(len(asks) - 2, 0) + i) || '. ' || a), chr(10))) AS sha FROM c""",
+    "pull_report": """
+        WITH p AS (SELECT o_orderkey, o_orderpriority, count(l_orderkey) AS n, count(*) FILTER (l_returnflag IN ('R', 'A')) AS pulls, count(*) FILTER (l_returnflag = 'R') AS loads,
+                          count(*) FILTER (l_returnflag IN ('R', 'A') AND l_suppkey % 5 = o_custkey % 5) AS fits FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+        SELECT o_orderpriority, count(*) AS runs, count(*) FILTER (pulls > 0) AS pulled, count(*) FILTER (loads > 0) AS loaded, count(*) FILTER (pulls > 0 AND fits = pulls) AS right, round(avg(n), 6) AS commands FROM p GROUP BY 1""",
     "unrouted_sessions": """
         SELECT user_id AS session_id, max(event_id) FILTER (event_type = 'purchase') AS started_at FROM events GROUP BY user_id
         HAVING started_at IS NOT NULL AND coalesce(max(event_id) FILTER (event_type = 'click'), -1) < started_at""",

@@ -258,6 +258,20 @@ ORACLE_SQL = {
     "folded_view_cap": FOLDED_SQL,
     "carry_dedupe": CARRY_SQL,
     "budget_sweep": SWEEP_SQL,
+    "fold_state": f"""
+        WITH RECURSIVE {SPLIT_SQL}, q AS (SELECT conv_id, turn_no AS turn, sum(length(text))::BIGINT AS size FROM s WHERE turn_no > 0 GROUP BY ALL),
+        z AS (SELECT conv_id, turn, row_number() OVER w AS nth, sum(size) OVER w AS upto, sum(size) OVER w - size AS earlier FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        r AS (SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS nth, 0::BIGINT AS cut, 0::HUGEINT AS at_cut, false AS rolled FROM z WHERE nth = 1
+              UNION ALL SELECT z.conv_id, z.turn, z.nth, CASE WHEN earlier - at_cut > 400 THEN z.nth - 1 ELSE cut END, CASE WHEN earlier - at_cut > 400 THEN earlier ELSE at_cut END, earlier - at_cut > 400
+              FROM r JOIN z ON z.conv_id = r.conv_id AND z.nth = r.nth + 1)
+        SELECT conv_id, turn, cut, rolled FROM r WHERE nth > 0""",
+    "render_markdown": f"""
+        WITH {SPLIT_SQL}, g AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id, turn_no) AS last FROM s WHERE turn_no > 0),
+        y AS (SELECT conv_id, turn_no, arg_min(text, turn) AS prompt, string_agg('> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND turn < last) AS work,
+                     coalesce(max(text) FILTER (turn = last), '') AS final FROM g GROUP BY ALL)
+        SELECT conv_id, 'turn-' || lpad(turn_no::VARCHAR, 4, '0') || '.md' AS file, array_to_string(['# Turn ' || turn_no, '', '## User', '', prompt, '', '## Work (0 tool calls)', '', coalesce(work, '_No tool calls._'), '', '## Final reply', '',
+               CASE WHEN final <> '' THEN final ELSE '_No final reply: the turn was interrupted or is still running._' END, ''], chr(10)) AS content FROM y""",
+    "extract_json": """SELECT event_id, '{"k": ' || (props->>'$.k') || '}' AS object FROM events""",
     "tally_by_bucket": TALLY_SQL,
     "paired_delta": PAIRED_SQL,
     "first_hit": f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from talkloom.operators import evals, retrieval, usage
+from talkloom.operators import evals, retrieval, turns, usage
 from talkloom.plans.common import table
 from talkloom.streaming import jobs
 
@@ -121,9 +121,10 @@ def p95_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an urgent order, by segment."""
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    """Lines of an order whose status no returned line of the order has: the returned ones are what is still in the context."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
+    open_ = turns.without_kept(lines, lines.where("l_returnflag = 'R'"), call_id="l_orderkey", text="l_linestatus")
+    return open_.select("l_orderkey", "l_linenumber", "l_linestatus")
 
 
 def range_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +215,9 @@ ORACLE_SQL = {
         SELECT p_brand, n, round(r, 2) AS revenue, round(r / sum(r) OVER (), 6) AS share FROM p""",
     "upper_median": _nth_sql("0.5", "median"),
     "p95_floor": _nth_sql("0.95", "p95"),
-    "anti_kept": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY c_mktsegment",
+    "anti_kept": """
+        SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem l
+        WHERE NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_orderkey = l.l_orderkey AND k.l_linestatus = l.l_linestatus AND k.l_returnflag = 'R')""",
     "range_earlier": """
         SELECT o_orderkey, count(*) OVER w AS n_before, coalesce(sum((o_orderpriority = '1-URGENT')::INT) OVER w, 0)::BIGINT AS n_urgent FROM orders
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)""",

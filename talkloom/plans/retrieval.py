@@ -90,10 +90,7 @@ CHUNK_BM25_SQL = f"""
 
 def term_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of four letters and more in at least two and at most a quarter of the chunks: the 400 most frequent."""
-    chunks = R.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk", F.array_distinct(T.terms(F.array_join("lines", "\n"))).alias("ts"))
-    n = F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n")))
-    df = chunks.select(F.explode("ts").alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(n).where((F.col("df") >= 2) & (F.col("df") <= F.col("n") / 4)).select("term", "df").orderBy(F.desc("df"), "term").limit(400)
+    return R.term_pool(R.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text"), T.terms(F.array_join("lines", "\n")))
 
 
 TERM_POOL_SQL = f"""
