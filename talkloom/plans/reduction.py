@@ -91,7 +91,7 @@ def cut_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduction.cut_notes(keys, state, thread="conv_id")
 
 
-def open_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("start", F.col("conv_id") % 3 * 100_000)
     return reduction.open_results(block_rows(spark, sf_dir), starts, thread="conv_id")
 
@@ -121,7 +121,7 @@ def ask_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (reduced_turns, trimmed_threads, thread_tails, recall_chunks, source_chunks, settled_cuts, resolved_cuts, cut_notes, open_results, request_sizes, call_narration, session_index, ask_lines)
+    for f in (reduced_turns, trimmed_threads, thread_tails, recall_chunks, source_chunks, settled_cuts, resolved_cuts, cut_notes, results_left, request_sizes, call_narration, session_index, ask_lines)
 }
 WS = "'^\\s+|\\s+$', '', 'g'"
 ORACLE_SQL = {
@@ -163,7 +163,7 @@ ORACLE_SQL = {
         h AS (SELECT *, CASE WHEN cut > 0 THEN greatest(1, cut - keep) ELSE 0 END AS f FROM j)
         SELECT conv_id, CASE WHEN max(cut) > 0 THEN 'compact' ELSE 'full' END AS action, count(*) FILTER (cut > 0 AND NOT pin AND i >= 1 AND i < f) AS omitted,
                count(*) FILTER (cut > 0 AND NOT pin AND ((i >= f AND i < cut) OR (i = 0 AND f = 1 AND messages > 1))) AS folded, count(*) FILTER (i < cut AND pin) AS pinned FROM h GROUP BY conv_id""",
-    "open_results": f"WITH {BLOCKS_SQL} SELECT conv_id, count(*) FILTER (type = 'tool_result' AND role = 'user' AND seq >= conv_id % 3 * 100000) AS n FROM b GROUP BY 1",
+    "results_left": f"WITH {BLOCKS_SQL} SELECT conv_id, count(*) FILTER (type = 'tool_result' AND role = 'user' AND seq >= conv_id % 3 * 100000) AS n FROM b GROUP BY 1",
     "request_sizes": """
         SELECT conv_id, coalesce(sum(length(text)) FILTER (turn < 1), 0)::BIGINT AS head, coalesce(sum(length(text)) FILTER (turn >= 1 AND turn < conv_id % 4 + 1), 0)::BIGINT AS folded,
                coalesce(sum(length(text)) FILTER (turn >= conv_id % 4 + 1), 0)::BIGINT AS live FROM conversations GROUP BY 1""",
