@@ -64,28 +64,31 @@ def cleared_results(blocks: DataFrame, *, thread: str, seq: str, first: int, cou
     return blocks.withColumn("cleared", F.col("is_result") & (nth >= first) & (nth < first + count))
 
 
-def rolling_cut(turns: DataFrame, *, thread: str, turn: str, size: str, keep: int = 3, budget: int = 100_000) -> DataFrame:
-    """(thread, turn, cut, rolled): where the fold stands when each turn opens.
-
-    The cut moves to the last `keep` turns once the foldable turns before them weigh more than the budget,
-    so the kept prefix changes in steps.  The rule feeds back into itself: a walk along each thread that
-    carries the last `keep` sizes.  Null sizes count as 0.
+def rolling_cut(turns: DataFrame, *, thread: str, turn: str, size: str, keep: int = 3, budget: int = 100_000, interrupted: str | None = None) -> DataFrame:
+    """(thread, turn, cut, rolled): how many turns stand in front of the cut when each turn is the open one.
+
+    The open turn and `keep` turns before it are never folded.  Once the turns between the cut and those weigh
+    more than the budget, the cut moves up to them, so the kept prefix changes in steps.  A cut in front of an
+    interrupted turn (a flag column) settles further down, at a turn that is not, or behind the first turn.
+    The rule feeds back into itself: a walk along each thread carries the last keep + 1 places where a cut
+    could fall, with the sizes in front of them.  Null sizes count as 0, null flags as false.
     """
+    broken = F.lit(False) if interrupted is None else F.coalesce(F.col(interrupted), F.lit(False))
 
     def start() -> list:
-        return [deque(), 0, 0, 0]  # sizes of the last turns, backlog before them, turns seen, cut
+        return [deque(), 0, 0, (0, 0)]  # places (turns, their size) of possible cuts, turns seen, their size, the cut's place
 
-    def step(state: list, at: int, size: int) -> tuple:
-        last, backlog, seen, cut = state
-        last.append(size)
-        seen += 1
-        backlog += last.popleft() if len(last) > keep else 0
-        roll = backlog > budget
-        cut = max(seen - keep, 0) if roll else cut
-        state[1:] = [0 if roll else backlog, seen, cut]
-        return at, cut, roll
+    def step(state: list, at: int, size: int, broken: bool) -> tuple:
+        places, seen, total, cut = state
+        places.append((seen, total) if seen <= 1 or not broken else places[-1])
+        if len(places) > keep + 1:
+            places.popleft()
+        due = places[0]
+        rolled = len(places) == keep + 1 and due[0] > cut[0] and due[1] - cut[1] > budget
+        state[1:] = [seen + 1, total + size, due if rolled else cut]
+        return at, state[3][0], rolled
 
-    return walk(turns, key=thread, order=turn, values={"size": _size(size)}, start=start, step=step, schema="turn bigint, cut bigint, rolled boolean")
+    return walk(turns, key=thread, order=turn, values={"size": _size(size), "broken": broken}, start=start, step=step, schema="turn bigint, cut bigint, rolled boolean")
 
 
 def shrink_steps(threads: DataFrame, *, limit: str = "target") -> DataFrame:
@@ -112,30 +115,37 @@ def shrink_steps(threads: DataFrame, *, limit: str = "target") -> DataFrame:
 
 
 def budget_sweep(turns: DataFrame, budgets: DataFrame, *, thread: str, turn: str, size: str, keep: int = 3) -> DataFrame:
-    """(budget, thread, steps, peak): folds and largest unfolded size for each of at most MOST_BUDGETS budgets.
+    """(budget, thread, steps, peak, last): folds, largest unfolded size and the turn (from 0) of the last fold, for each budget.
 
-    A larger set of budgets is an error.  Null sizes count as 0.
+    As in rolling_cut() the open turn and `keep` before it stay, without settling; peak looks at requests that
+    have something to fold, from turn keep + 2 on, and is 0 where there is none.  At most MOST_BUDGETS budgets,
+    a larger set is an error.  Null sizes count as 0.
     """
     asked = sorted({r["budget"] for r in budgets.select("budget").limit(MOST_BUDGETS + 1).collect()})
     if len(asked) > MOST_BUDGETS:
         raise ValueError(f"more than {MOST_BUDGETS} budgets")
 
     def start() -> list:
-        return [deque(), 0, *[[b, 0, 0, 0] for b in asked]]  # the last sizes, their sum, (budget, backlog, folds, peak)
+        return [deque(), 0, 0, *[[b, 0, 0, 0, 0] for b in asked]]  # sizes in front of the last turns, turns seen, their size; budget, size in front of the cut, folds, peak, last fold
 
     def step(state: list, at: int, size: int) -> None:
-        last = state[0]
-        last.append(size)
-        gone = last.popleft() if len(last) > keep else 0
-        state[1] += size - gone
-        for per in state[2:]:
-            per[1] += gone
-            per[3] = max(per[3], per[1] + state[1])
-            if per[1] > per[0]:
-                per[1:3] = [0, per[2] + 1]
-
-    found = walk(turns, key=thread, order=turn, values={"size": _size(size)}, start=start, step=step, schema="budget bigint, steps bigint, peak bigint", finish=lambda state: [(b, n, peak) for b, _, n, peak in state[2:]])
-    return found.select("budget", thread, "steps", "peak")
+        places, seen, total = state[:3]
+        places.append(total)
+        total += size
+        state[1:3] = [seen + 1, total]
+        if len(places) <= keep + 1:
+            return
+        places.popleft()
+        for per in state[3:]:
+            per[3] = max(per[3], total - per[1])
+            if places[0] - per[1] > per[0]:
+                per[1:3], per[4] = [places[0], per[2] + 1], seen
+
+    found = walk(
+        turns, key=thread, order=turn, values={"size": _size(size)}, start=start, step=step, schema="budget bigint, steps bigint, peak bigint, last bigint",
+        finish=lambda state: [(b, n, peak, last) for b, _, n, peak, last in state[3:]],
+    )
+    return found.select("budget", thread, "steps", "peak", "last")
 
 
 def _size(name: str) -> Column:

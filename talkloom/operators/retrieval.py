@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
@@ -29,19 +32,31 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str, query_terms: Col
     """(query_id, *doc_key, matched, score) of every document that matches enough distinct query terms.
 
     Needed matches are min_terms, relaxed to the number of query terms the corpus knows, at least one.
-    Document lengths come from the term arrays before anything is exploded, and only terms that some
-    query asks for are exploded into postings, so the shuffle carries query terms, not the corpus.
+    Document lengths come from the term arrays, and only terms that some query asks for go into the shuffle
+    and the written table of postings.  Two jobs run at once: one counts the query side, one writes.
     """
     asked = queries.select(F.col(query_id), F.explode(F.array_distinct(query_terms)).alias("term"))
     # everything on the query side has at most a row for each of these, so one count decides for all of it
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(*doc_key, doc_terms.alias("__terms")).withColumn("len", F.size("__terms"))
+    wanted = asked.select("term").distinct()
+    size = [F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("len").cast("double")).alias("avg")]
+    # the terms are taken from the texts once; what is written has the asked ones and, for every document, one that no text has
+    if few:
+        every = F.broadcast(wanted.union(wanted.sparkSession.range(1).select(F.lit("").alias("term"))))
+        found = texts.select(*doc_key, "len", F.explode(F.concat("__terms", F.array(F.lit("")))).alias("term")).join(every, "term")
+        sized = written(found.groupBy(*doc_key, "len", "term").agg(F.count(F.lit(1)).cast("double").alias("f")), "terms")
+        tf, stats = sized.where("term <> ''"), sized.where("term = ''").agg(*size)
+    else:
+        sized = written(texts, "terms")
+        postings = sized.select(*doc_key, "len", F.explode("__terms").alias("term")).join(wanted, "term")
+        tf, stats = postings.groupBy(*doc_key, "len", "term").agg(F.count(F.lit(1)).cast("double").alias("f")), sized.agg(*size)
+    return scored(asked, tf, stats, query_id=query_id, doc_key=doc_key, min_terms=min_terms, few=few)
+
+
+def scored(asked: DataFrame, tf: DataFrame, stats: DataFrame, *, query_id: str, doc_key: list[str], min_terms: int, few: bool) -> DataFrame:
+    """Scores from asked (query_id, term), tf (*doc_key, len, term, f) of all documents for these terms, and stats (n, avg) in one row."""
     held = F.broadcast if few else lambda df: df
-    wanted = held(asked.select("term").distinct())
-    # written once, so that the terms are taken from the texts once and not in each branch below
-    sized = written(docs.select(*doc_key, doc_terms.alias("__terms")).withColumn("len", F.size("__terms")), "terms")
-    stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("len").cast("double")).alias("avg"))
-    postings = sized.select(*doc_key, "len", F.explode("__terms").alias("term")).join(wanted, "term")
-    tf = postings.groupBy(*doc_key, "len", "term").agg(F.count(F.lit(1)).cast("double").alias("f"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     known = asked.join(df, "term")
     need = known.groupBy(query_id).agg(F.greatest(F.lit(1), F.least(F.lit(min_terms), F.count(F.lit(1)))).alias("need"))
@@ -49,9 +64,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str, query_terms: Col
     idf = F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     part = idf * F.col("f") * F.lit(K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / avg))
     # one row of statistics joins every row
-    scored = tf.join(held(known), "term").crossJoin(F.broadcast(stats)).groupBy(query_id, *doc_key)
-    scored = scored.agg(F.count(F.lit(1)).alias("matched"), F.sum(part).alias("score"))
-    return scored.join(held(need), query_id).where("matched >= need").drop("need")
+    sums = tf.join(held(known), "term").crossJoin(F.broadcast(stats)).groupBy(query_id, *doc_key)
+    sums = sums.agg(F.count(F.lit(1)).alias("matched"), F.sum(part).alias("score"))
+    return sums.join(held(need), query_id).where("matched >= need").drop("need")
 
 
 def ranked(scored: DataFrame, query_id: str, key: list[str], k: int | None = None, score: str = "score") -> DataFrame:
@@ -92,6 +107,34 @@ def fused(lists: list[DataFrame], query_id: str, key: list[str], constant: float
     return ranked(rows.groupBy(query_id, *key).agg(score.alias("score")), query_id, key)
 
 
+def reranked(hits: DataFrame, rerank: Callable[[Any, list], list], *, query_id: str, key: list[str], query: str | None = None, candidates: int = 30, keep: int = 12) -> DataFrame:
+    """(query_id, *key, rank, reranked): the `candidates` best of each query in the order that rerank(query, keys) gives, the first `keep`.
+
+    query: the column that the hook sees, query_id itself if none is named.  keys are values of a single key column, else tuples.  Keys that the answer leaves out follow in their old
+    order, unknown and repeated ones are passed over; where the hook raises, the old order stays and reranked
+    is false.  A group has `candidates` rows at most, whatever the query; null queries are one query.
+    """
+    rows = hits.where(F.col("rank") <= candidates).select(query_id, *key, F.col("rank").cast("long").alias("rank"), F.col(query or query_id).alias("__query"))
+    kinds = dict(rows.dtypes)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        columns = [group.column(k).to_pylist() for k in key]
+        old = columns[0] if len(key) == 1 else list(zip(*columns, strict=True))
+        try:
+            order, told = list(dict.fromkeys(rerank(group.column("__query")[0].as_py(), list(old)))), True
+        except Exception:  # noqa: BLE001  any failure of the caller's model
+            order, told = [], False
+        at = {k: i for i, k in enumerate(old)}
+        first = [at.pop(k) for k in order if k in at]
+        picked = [*first, *sorted(at.values())][:keep]
+        out = group.take(picked).drop_columns(["rank", "__query"])
+        return out.append_column("rank", pa.array(range(1, len(picked) + 1), pa.int64())).append_column("reranked", pa.array([told] * len(picked), pa.bool_()))
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (query_id, *key)], "rank bigint", "reranked boolean"])
+    return rows.groupBy(query_id).applyInArrow(run, schema)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -155,17 +198,23 @@ def queries_of(prompt: Column) -> Column:
     return F.when(F.size(lines) > 1, lines).otherwise(F.array(prompt))
 
 
-def recall(prompts: DataFrame, chunks: DataFrame, *, prompt_id: str, prompt: str, per_query: int = 12, min_terms: int = 2, most: int = 18_000, most_multi: int = 30_000, total: int = 30_000, in_use: int = 0) -> DataFrame:
+def recall(prompts: DataFrame, chunks: DataFrame, *, prompt_id: str, prompt: str, per_query: int = 12, min_terms: int = 2, most: int = 18_000, most_multi: int = 30_000, total: int = 30_000, in_use: int = 0, rerank: Callable[[str, list], list] | None = None, candidates: int = 30) -> DataFrame:
     """(prompt_id, n_entries, used, text): excerpts of the best chunks for each prompt under a size budget.
 
     chunks: chunk (order of the corpus), turn, source (nullable), call, lines.  Picks of a prompt's queries
     merge with the union of their terms; entries go by turn and chunk; entries over the budget are skipped.
+    rerank(query line, chunk numbers) may reorder the `candidates` best of each query, as in reranked().
     """
     asked = prompts.select(prompt_id, queries_of(F.col(prompt)).alias("__qs"))
     asked = asked.select(prompt_id, (F.size("__qs") > 1).alias("__multi"), F.posexplode("__qs").alias("__n", "__q"))
     asked = asked.withColumn("__qid", F.concat_ws("/", F.col(prompt_id).cast("string"), "__n")).withColumn("__qt", T.terms(F.col("__q")))
     words = F.concat(T.terms(F.array_join("lines", "\n")), T.terms(F.col("call")))
-    hits = ranked(bm25(asked, chunks, query_id="__qid", query_terms=F.col("__qt"), doc_key=["chunk"], doc_terms=words, min_terms=min_terms), "__qid", ["chunk"], per_query)
+    scores = bm25(asked, chunks, query_id="__qid", query_terms=F.col("__qt"), doc_key=["chunk"], doc_terms=words, min_terms=min_terms)
+    if rerank is None:
+        hits = ranked(scores, "__qid", ["chunk"], per_query)
+    else:
+        lined = ranked(scores, "__qid", ["chunk"], candidates).join(asked.select("__qid", "__q"), "__qid")
+        hits = reranked(lined, rerank, query_id="__qid", key=["chunk"], query="__q", candidates=candidates, keep=per_query)
     picks = hits.join(asked, "__qid").groupBy(prompt_id, "__multi", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("__qt"))).alias("__terms"))
     found = picks.join(chunks, "chunk")
     lines = excerpt_lines(found, [prompt_id, "chunk"], "lines", "__terms")

@@ -145,21 +145,29 @@ def _turn_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     budgets = spark.createDataFrame([(300,), (600,), (1200,)], "budget long")
     per = fold.budget_sweep(_turn_sizes(spark, sf_dir), budgets, thread="conv_id", turn="turn", size="size", keep=1)
-    return per.groupBy("budget").agg(F.sum("steps").alias("steps"), F.max("peak").alias("peak"), F.count(F.lit(1)).alias("n"))
+    none = F.count(F.when(F.col("steps") == 0, 1))
+    return per.groupBy("budget").agg(F.sum("steps").alias("steps"), F.max("peak").alias("peak"), F.sum("last").alias("gaps"), none.alias("without"), F.count(F.lit(1)).alias("n"))
 
 
+SIZES_SQL = f"""
+    {SPLIT_SQL}, q AS (SELECT conv_id, turn_no AS turn, sum(length(text))::BIGINT AS size, arg_min(text, turn) AS opening FROM s WHERE turn_no > 0 GROUP BY ALL),
+    z AS (SELECT *, row_number() OVER w - 1 AS j, sum(size) OVER w - size AS pre FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
 SWEEP_SQL = f"""
-    WITH {SPLIT_SQL}, z AS (SELECT conv_id, turn_no AS turn, sum(length(text))::BIGINT AS size FROM s WHERE turn_no > 0 GROUP BY ALL),
-    g AS (SELECT budget, conv_id, list(size ORDER BY turn) AS xs FROM z, (VALUES (300::BIGINT), (600), (1200)) AS b(budget) GROUP BY ALL),
-    w AS (SELECT budget, list_reduce(list_transform(xs, lambda v: {{'live': v, 'steps': 0::BIGINT, 'peak': 0::BIGINT}}), lambda acc, x:
-            CASE WHEN acc.live > budget THEN {{'live': x.live, 'steps': acc.steps + 1, 'peak': greatest(acc.peak, acc.live + x.live)}}
-                 ELSE {{'live': acc.live + x.live, 'steps': acc.steps, 'peak': greatest(acc.peak, acc.live + x.live)}} END, {{'live': 0::BIGINT, 'steps': 0::BIGINT, 'peak': 0::BIGINT}}) AS acc FROM g)
-    SELECT budget, sum(acc.steps)::BIGINT AS steps, max(acc.peak) AS peak, count(*) AS n FROM w GROUP BY budget"""
+    WITH RECURSIVE {SIZES_SQL},
+    r AS (SELECT budget, conv_id, 1::BIGINT AS j, 0::HUGEINT AS at_cut, 0::BIGINT AS steps, 0::HUGEINT AS peak, 0::BIGINT AS last FROM z, (VALUES (300::BIGINT), (600), (1200)) AS b(budget) WHERE j = 0
+          UNION ALL SELECT budget, r.conv_id, now.j, CASE WHEN nx.pre - at_cut > budget THEN nx.pre ELSE at_cut END, steps + (nx.pre - at_cut > budget)::INT,
+                           greatest(peak, now.pre + now.size - at_cut), CASE WHEN nx.pre - at_cut > budget THEN now.j ELSE last END
+          FROM r JOIN z now ON now.conv_id = r.conv_id AND now.j = r.j + 1 JOIN z nx ON nx.conv_id = r.conv_id AND nx.j = now.j - 1),
+    e AS (SELECT budget, conv_id, arg_max(steps, j) AS steps, arg_max(peak, j) AS peak, arg_max(last, j) AS last FROM r GROUP BY ALL)
+    SELECT budget, sum(steps)::BIGINT AS steps, max(peak)::BIGINT AS peak, sum(last)::BIGINT AS gaps, count(*) FILTER (steps = 0) AS without, count(*) AS n FROM e GROUP BY budget"""
 
 
 def fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the rolling cut stands at each turn, with 400 characters of backlog."""
-    return fold.rolling_cut(_turn_sizes(spark, sf_dir), thread="conv_id", turn="turn", size="size", keep=1, budget=400)
+    """Where the rolling cut stands at each turn, with 400 characters of backlog; openings without a full stop stand in for interrupted ones."""
+    rows = split(spark, sf_dir).where("turn_no > 0").groupBy("conv_id", F.col("turn_no").alias("turn"))
+    sized = rows.agg(F.sum(F.length("text")).alias("size"), (~F.contains(F.min_by("text", "turn"), F.lit(". "))).alias("broken"))
+    return fold.rolling_cut(sized, thread="conv_id", turn="turn", size="size", keep=1, budget=400, interrupted="broken")
 
 
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,12 +267,13 @@ ORACLE_SQL = {
     "carry_dedupe": CARRY_SQL,
     "budget_sweep": SWEEP_SQL,
     "fold_state": f"""
-        WITH RECURSIVE {SPLIT_SQL}, q AS (SELECT conv_id, turn_no AS turn, sum(length(text))::BIGINT AS size FROM s WHERE turn_no > 0 GROUP BY ALL),
-        z AS (SELECT conv_id, turn, row_number() OVER w AS nth, sum(size) OVER w AS upto, sum(size) OVER w - size AS earlier FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-        r AS (SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS nth, 0::BIGINT AS cut, 0::HUGEINT AS at_cut, false AS rolled FROM z WHERE nth = 1
-              UNION ALL SELECT z.conv_id, z.turn, z.nth, CASE WHEN earlier - at_cut > 400 THEN z.nth - 1 ELSE cut END, CASE WHEN earlier - at_cut > 400 THEN earlier ELSE at_cut END, earlier - at_cut > 400
-              FROM r JOIN z ON z.conv_id = r.conv_id AND z.nth = r.nth + 1)
-        SELECT conv_id, turn, cut, rolled FROM r WHERE nth > 0""",
+        WITH RECURSIVE {SIZES_SQL},
+        y AS (SELECT *, max(j) FILTER (j <= 1 OR contains(opening, '. ')) OVER (PARTITION BY conv_id ORDER BY j) AS place FROM z),
+        r AS (SELECT conv_id, turn, j, 0::BIGINT AS cut, 0::HUGEINT AS at_cut, false AS rolled FROM y WHERE j = 0
+              UNION ALL SELECT r.conv_id, now.turn, now.j, CASE WHEN pl.j > cut AND pl.pre - at_cut > 400 THEN pl.j ELSE cut END, CASE WHEN pl.j > cut AND pl.pre - at_cut > 400 THEN pl.pre ELSE at_cut END,
+                               pl.j > cut AND pl.pre - at_cut > 400
+              FROM r JOIN y now ON now.conv_id = r.conv_id AND now.j = r.j + 1 JOIN y nx ON nx.conv_id = r.conv_id AND nx.j = now.j - 1 JOIN y pl ON pl.conv_id = r.conv_id AND pl.j = nx.place)
+        SELECT conv_id, turn, cut, rolled FROM r""",
     "render_markdown": f"""
         WITH {SPLIT_SQL}, g AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id, turn_no) AS last FROM s WHERE turn_no > 0),
         y AS (SELECT conv_id, turn_no, arg_min(text, turn) AS prompt, string_agg('> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND turn < last) AS work,

@@ -5,21 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as Parquet in the shared folder of spark.checkpoint.dir, so that it is computed once and lost executors cost nothing again.
-
-    Where no folder is named a local one serves in local mode; elsewhere that is an error.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where none is named a local one serves in local mode; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="talkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as Parquet in the shared folder, so that it is computed once and lost executors cost nothing again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

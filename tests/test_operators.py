@@ -1,6 +1,7 @@
 """Operators on hand-built rows of their own record shapes."""
 
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -75,13 +76,34 @@ def test_folded_view_stops_and_carried_skips(spark):
 
 
 def test_rolling_cut_and_shrink(spark):
-    rows = spark.createDataFrame([("t", i, 50) for i in range(1, 8)], "thread string, turn int, size int")
-    got = fold.rolling_cut(rows, thread="thread", turn="turn", size="size", keep=2, budget=90).orderBy("turn").collect()
-    assert [r["cut"] for r in got] == [0, 0, 0, 2, 2, 4, 4] and [r["rolled"] for r in got] == [False, False, False, True, False, True, False]
+    rows = spark.createDataFrame([("t", i, 10) for i in range(1, 11)], "thread string, turn int, size int")
+    got = fold.rolling_cut(rows, thread="thread", turn="turn", size="size", keep=3, budget=20).collect()
+    # ten turns of 10: turns 1 to 3 fold when turn 7 opens, 4 to 6 when turn 10 does
+    assert [(r["turn"], r["cut"]) for r in got if r["rolled"]] == [(7, 3), (10, 6)]
+    swept = fold.budget_sweep(rows, spark.createDataFrame([(20,), (1000,)], "budget long"), thread="thread", turn="turn", size="size", keep=3)
+    assert sorted(map(tuple, swept.collect())) == [(20, "t", 2, 70, 9), (1000, "t", 0, 100, 0)]
     threads = spark.createDataFrame([("a", 3, 20, 5, 10, 1, 100, 75), ("b", 1, 5, 5, 1, 1, 100, 10)], "thread string, keep long, results long, protected long, turn_size long, result_size long, size long, target long")
     assert {r["thread"]: (r["keep"], r["cleared"], r["stuck"]) for r in fold.shrink_steps(threads).collect()} == {"a": (0, 0, False), "b": (0, 0, True)}
 
 
+def test_rolling_cut_by_the_rule(spark):
+    """Against the rule written out over whole lists, with interrupted turns."""
+    rng = random.Random(2)
+    threads = {f"t{n}": [(rng.choice([0, 5, 10, 40]), rng.random() < 0.3) for _ in range(rng.randint(1, 25))] for n in range(60)}
+    rows = spark.createDataFrame([(k, i, s, b) for k, v in threads.items() for i, (s, b) in enumerate(v)], "thread string, turn int, size int, broken boolean")
+    for keep, budget in ((0, 15), (1, 0), (3, 30)):
+        got = {(r["thread"], r["turn"]): (r["cut"], r["rolled"]) for r in fold.rolling_cut(rows, thread="thread", turn="turn", size="size", keep=keep, budget=budget, interrupted="broken").collect()}
+        for k, turns in threads.items():
+            cut = 0
+            for now in range(len(turns)):
+                at = now - keep
+                while at > 1 and turns[at][1]:
+                    at -= 1
+                roll = at >= 1 and at > cut and sum(s for s, _ in turns[cut:at]) > budget
+                cut = at if roll else cut
+                assert got[k, now] == (cut, roll)
+
+
 def test_usage_lines_dedupe_and_price(spark, tmp_path):
     def line(out, **more):
         usage_ = {"input_tokens": 10, "output_tokens": out, "cache_creation_input_tokens": 100, "cache_read_input_tokens": 5, "cache_creation": {"ephemeral_1h_input_tokens": 40}, "service_tier": "standard"} | more

@@ -28,9 +28,9 @@ def test_walk_carries_state_over_batches(spark):
 def test_missing_sizes(spark):
     rows = spark.createDataFrame([("t", 1, None), ("t", 2, 100), ("t", 3, None), ("t", 4, 5)], "thread string, turn int, size int")
     cuts = fold.rolling_cut(rows, thread="thread", turn="turn", size="size", keep=1, budget=50).orderBy("turn").collect()
-    assert [(r["cut"], r["rolled"]) for r in cuts] == [(0, False), (0, False), (2, True), (2, False)]
+    assert [(r["cut"], r["rolled"]) for r in cuts] == [(0, False), (0, False), (0, False), (2, True)]
     swept = fold.budget_sweep(rows, spark.createDataFrame([(50,), (500,)], "budget long"), thread="thread", turn="turn", size="size", keep=1)
-    assert sorted(map(tuple, swept.collect())) == [(50, "t", 1, 100), (500, "t", 0, 105)]
+    assert sorted(map(tuple, swept.collect())) == [(50, "t", 1, 105, 3), (500, "t", 0, 105, 0)]
     sized = spark.createDataFrame([("t", 1, None, 1.0, 100.0), ("t", 2, 95.0, None, 100.0), ("t", 3, 95.0, 1.0, None)], "k string, n long, p double, f double, w double")
     hits = usage.resetting_offset(sized, key="k", order="n", plain="p", fixed="f", window=F.col("w"), summary=0).orderBy("n").collect()
     assert [r["hit"] for r in hits] == [False, True, False]
