@@ -35,9 +35,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str, query_terms: Col
     Document lengths come from the term arrays, and only terms that some query asks for go into the shuffle
     and the written table of postings.  Two jobs run at once: one counts the query side, one writes.
     """
-    asked = queries.select(F.col(query_id), F.explode(F.array_distinct(query_terms)).alias("term"))
-    # everything on the query side has at most a row for each of these, so one count decides for all of it
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # written once, as it is used again and again; everything on the query side has at most a row for each of these
+    asked = written(queries.select(F.col(query_id), F.explode(F.array_distinct(query_terms)).alias("term")), "asked")
+    few = asked.count() <= BROADCAST_ROWS
     texts = docs.select(*doc_key, doc_terms.alias("__terms")).withColumn("len", F.size("__terms"))
     wanted = asked.select("term").distinct()
     size = [F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("len").cast("double")).alias("avg")]
@@ -56,15 +56,19 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str, query_terms: Col
 
 def scored(asked: DataFrame, tf: DataFrame, stats: DataFrame, *, query_id: str, doc_key: list[str], min_terms: int, few: bool) -> DataFrame:
     """Scores from asked (query_id, term), tf (*doc_key, len, term, f) of all documents for these terms, and stats (n, avg) in one row."""
-    held = F.broadcast if few else lambda df: df
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    known = asked.join(df, "term")
+    # one row of statistics joins every row
+    return combined(asked.join(df, "term").crossJoin(F.broadcast(stats)), tf, query_id=query_id, doc_key=doc_key, min_terms=min_terms, few=few)
+
+
+def combined(known: DataFrame, tf: DataFrame, *, query_id: str, doc_key: list[str], min_terms: int, few: bool) -> DataFrame:
+    """Scores from known (query_id, term, df, n, avg), the query terms that some document has, and tf as in scored()."""
+    held = F.broadcast if few else lambda df: df
     need = known.groupBy(query_id).agg(F.greatest(F.lit(1), F.least(F.lit(min_terms), F.count(F.lit(1)))).alias("need"))
     n, avg = F.col("n"), F.col("avg")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     part = idf * F.col("f") * F.lit(K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / avg))
-    # one row of statistics joins every row
-    sums = tf.join(held(known), "term").crossJoin(F.broadcast(stats)).groupBy(query_id, *doc_key)
+    sums = tf.join(held(known), "term").groupBy(query_id, *doc_key)
     sums = sums.agg(F.count(F.lit(1)).alias("matched"), F.sum(part).alias("score"))
     return sums.join(held(need), query_id).where("matched >= need").drop("need")
 

@@ -51,7 +51,7 @@ def test_batches_equal_one_look_at_all_texts(spark, rows, tmp_path):
     assert found(spark, path, asked, members=part) == want_of(docs.where("doc % 2 = 0"), asked)
     merged = index.merge(spark, path, key=key)
     assert [r["batch"] for r in index.commits(spark, path).collect()] == [merged] and found(spark, path, asked) == want_of(docs, asked)
-    assert index.vacuum(spark, path) == 6 and found(spark, path, asked) == want_of(docs, asked) and index.merge(spark, path, key=key) is None
+    assert index.vacuum(spark, path) == 9 and found(spark, path, asked) == want_of(docs, asked) and index.merge(spark, path, key=key) is None
     add(second.limit(0), batch="none")
     assert found(spark, path, asked) == want_of(docs, asked)
 
@@ -71,7 +71,7 @@ def test_only_buckets_that_are_asked_for_are_read(spark, rows, tmp_path):
     index.append(docs, path, key=["doc", "part"], terms=F.col("words"), buckets=16)
     asked = spark.createDataFrame([("word3",), ("word8",)], "term string")
     want = {r[0] for r in asked.select(index.bucket_of("term", 16)).collect()}
-    read = index.postings_of(spark, path, asked, True)
+    read = index.Asked(asked, 16).of(spark.read.parquet(f"{path}/postings"))
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "[bucket") or "bucket#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     files = {f.split("bucket=")[1].split("/")[0] for f in (r[0] for r in read.select(F.input_file_name()).distinct().collect())}
