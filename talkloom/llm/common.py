@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Input bytes that one shuffle partition of whole texts should hold.
 TEXT_PARTITION_BYTES = 32 << 20
+#: Partitions from which on they rather grow, the bytes that one holds then at most, and estimates that mean nothing.
+MANY_PARTITIONS, MOST_PARTITION_BYTES, UNKNOWN_BYTES = 200_000, 512 << 20, 1 << 60
 #: Nodes of a graph up to which its tables of labels are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 100_000
 
@@ -102,10 +104,16 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, each: int = TEXT_PARTITION_BYTES, expand: float = 3.0) -> int:
-    """Enough partitions that each holds about `each` bytes, never fewer than the session's own number."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, math.ceil(input_bytes(df) * expand / each)))
+    """Enough partitions that each holds about `each` bytes, never fewer than the session's own number.
+
+    Beyond MANY_PARTITIONS of them partitions grow, up to MOST_PARTITION_BYTES; from there on their number
+    grows again.  Frames whose size Catalyst does not know (rows from the driver) get the session's number.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return least
+    each = max(each, min(MOST_PARTITION_BYTES, size * expand / MANY_PARTITIONS))
+    return max(least, math.ceil(size * expand / each))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -13,6 +13,8 @@ from talkloom.llm.common import cut, drop_table, partitions_for
 PLACE_BITS = 33
 #: Rows of the communication matrix up to which it is broadcast (some 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_PARTS = 500_000
+#: Cells for each partition of the exchange, so that their number evens out.
+CELLS = 4
 #: Levels of the matrix that one written table adds.
 LEVELS_A_TABLE = 4
 #: Standard deviations, and counts besides, from the mode that a draw looks at.  What lies beyond has, by
@@ -144,8 +146,8 @@ def sharded(docs: DataFrame, *, shards: int = 8, seed: int = 23) -> DataFrame:
     sums = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0).cast("bigint"), lambda a, x: a + x))
     ends = matrix.select(F.col("part").alias("of"), sums.alias("ends"))
     ends = F.broadcast(ends) if counts.count() <= BROADCAST_PARTS else ends
-    parts = partitions_for(docs)
-    cells = math.ceil(parts / shards)
+    parts = partitions_for(permuted)
+    cells = math.ceil(CELLS * parts / shards)
     dealt = permuted.join(ends, part == F.col("of")).select("row", "at", F.size(F.filter("ends", lambda e: e <= rank)).alias("shard"), F.xxhash64("at", F.lit(seed + 1)).alias("key"))
     dealt = dealt.withColumn("cell", F.pmod("key", F.lit(cells)).cast("int"))
     filled = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("m"))

@@ -157,7 +157,8 @@ def repaired_turns(conversations: DataFrame, *, conv_col: str = "conv_id", turn_
     each over rows that Spark has sorted, with four numbers of state, so a conversation of any length needs
     no more memory.  It is one task: the digest of its text is one chain.
 
-    Nulls: a null role or text is one space (so a null text is blank), null conversations are one
+    Nulls: a null role or text is one space (so a null text is blank), an empty role has no initial that is
+    legal, null conversations are one
     conversation.  Texts may be of any length; a worker holds one Arrow batch of whole ones.  An empty table
     gives an empty table; other columns, whatever their names, are not looked at.
     """
