@@ -58,24 +58,30 @@ def scored_values(edges: DataFrame) -> DataFrame:
 
     Each round scores a pattern by the mean score of its distinct instances, pulled towards 0 by one
     instance, then an instance by the chance that not all its confident patterns err.  Seeds keep score 1.
+    Patterns come from all instances scored so far: what a round discovers induces patterns of its own in
+    the next, so identifiers are found up to ROUNDS contexts away from a seed.
     """
     unknown = edges.where("kind is null").select("pattern", "value").distinct()
-    size = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").cast("double").alias("seeds"))
-    base = cut(seeds.join(size, "pattern").where(F.col("n") >= SUPPORT), "pii-patterns")
+    size = cut(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT), "pii-sizes")
+    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").cast("double").alias("weight"))
+    base = cut(seeds.join(size, "pattern").select("pattern", "kind", "n", "weight"), "pii-patterns")
     scores = None
     for step in range(ROUNDS):
-        support = base.withColumn("found", F.lit(0.0))
+        support = base
         if scores is not None:
-            met = unknown.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("found"))
-            support = base.join(met, ["pattern", "kind"], "left").withColumn("found", F.coalesce("found", F.lit(0.0)))
-        sure = support.withColumn("conf", (F.col("seeds") + F.col("found")) / (F.col("n") + 1)).where(F.col("conf") >= SURE_PATTERN)
+            # rounded, so that the order of a sum moves nothing over a threshold
+            met = unknown.join(scores, "value").groupBy("pattern", "kind").agg(F.round(F.sum("score"), 9).alias("weight"))
+            both = base.union(met.join(size, "pattern").select("pattern", "kind", "n", "weight"))
+            support = both.groupBy("pattern", "kind").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
+        sure = support.withColumn("conf", F.col("weight") / (F.col("n") + 1)).where(F.col("conf") >= SURE_PATTERN)
         err = F.sum(F.log1p(-F.col("conf")))
-        new = unknown.join(sure.select("pattern", "kind", "conf"), "pattern").groupBy("value", "kind").agg((1 - F.exp(err)).alias("score"))
+        new = unknown.join(sure.select("pattern", "kind", "conf"), "pattern").groupBy("value", "kind").agg(F.round(1 - F.exp(err), 9).alias("score"))
         new = cut(new, f"pii-scores-{step}")
         if scores is not None:
             drop_table(scores)
         scores = new
+    for table in (size, base):
+        drop_table(table)
     return scores
 
 

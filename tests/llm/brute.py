@@ -120,3 +120,25 @@ def windows(rows, items, window=10):
                     found |= patterns[p]
         out[i] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out
+
+
+def scored_values(edges, rounds=3, support=5, sure=0.8):
+    """Of (pattern, value, kind or None): {(value, kind): score} after rounds over the whole graph."""
+    values, seeds, unknown = defaultdict(set), defaultdict(set), defaultdict(set)
+    for p, v, k in edges:
+        values[p].add(v)
+        (seeds[p, k] if k else unknown[p]).add(v)
+    scores = {}
+    for _ in range(rounds):
+        conf = {}
+        for p in values:
+            for k in {k for q, k in seeds if q == p} | {k for v, k in scores if v in unknown[p]}:
+                weight = len(seeds.get((p, k), ())) + sum(scores.get((v, k), 0) for v in unknown[p])
+                if len(values[p]) >= support and weight / (len(values[p]) + 1) >= sure:
+                    conf[p, k] = weight / (len(values[p]) + 1)
+        miss = defaultdict(lambda: 1.0)
+        for (p, k), c in conf.items():
+            for v in unknown[p]:
+                miss[v, k] *= 1 - c
+        scores = {x: 1 - m for x, m in miss.items()}
+    return scores

@@ -319,6 +319,36 @@ def test_pii_discovers_by_context(spark):
     assert all(not got[200 + i] for i in range(30))
 
 
+def test_pii_discoveries_induce_patterns(spark):
+    """Seeds under one context, unknown values under it and under a second one, which holds two values more."""
+    rng = random.Random(5)
+    shown = lambda i: f"id{i}(at)mail{i}"
+    rows = [(i, f"{prose(rng, 4)} reach-me-at: user{i}@mail.example.com thanks {prose(rng, 4)}") for i in range(400)]
+    rows += [(1000 + i, f"{prose(rng, 4)} reach-me-at: {shown(i)} thanks {prose(rng, 4)}") for i in range(60)]
+    rows += [(2000 + i, f"{prose(rng, 4)} mailbox-of-mine {shown(i)} goodbye {prose(rng, 4)}") for i in range(62)]
+    rows += [(3000 + i, prose(rng, 30)) for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = [] if i >= 3000 else [w for w in t.split() if "mail" in w and ("@" in w or "(at)" in w)]
+        assert [t[int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[i].split(",") if x] == want, t
+
+
+def test_pii_scores_equal_brute_force(spark):
+    rng = random.Random(6)
+    kinds = {f"v{i}": rng.choice(["email", "phone"]) for i in range(300) if i % 8}
+    edges = set()
+    for p in range(60):
+        kind = rng.choice(["email", "phone"])
+        fit = [f"v{i}" for i in range(300) if kinds.get(f"v{i}", kind) == kind or rng.random() < 0.02]
+        # every third pattern knows few seeds, so only discoveries can make it sure
+        like = rng.sample([v for v in fit if v not in kinds] if p % 3 == 0 else fit, rng.randint(4, 30))
+        edges |= {(f"p{p}", v, kinds.get(v)) for v in like}
+    edges |= {("p0", "v1", kinds["v1"])}
+    got = {(r["value"], r["kind"]): r["score"] for r in pii.scored_values(spark.createDataFrame(sorted(edges, key=repr), "pattern string, value string, kind string")).collect()}
+    want = brute.scored_values(edges)
+    assert set(got) == set(want) and len(want) > 10 and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
 def test_secrets_base_and_linking(fragments, spark):
     rows, df = fragments
     texts = dict(rows)
