@@ -6,6 +6,7 @@ import json
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -93,6 +94,70 @@ def mixing(seed: int):
         yield ((t ^ (t >> 14)) & m) / 4294967296
 
 
+#: Multiplier, increment and modulus of the generator of bootstrap_points(), and its seed.
+STEP_MULTIPLIER, STEP_INCREMENT, STEP_MODULUS, STEP_SEED = 1_664_525, 1_013_904_223, 1 << 32, 20_261_008
+#: Numbers of the generator that one task makes at once.
+STEP_BLOCK = 1 << 20
+
+
+def jumped(state: int, steps: int) -> int:
+    """The generator's state so many steps on: powers of its affine step by repeated squaring."""
+    a, c, by, add = 1, 0, STEP_MULTIPLIER, STEP_INCREMENT
+    while steps:
+        if steps & 1:
+            a, c = a * by % STEP_MODULUS, (c * by + add) % STEP_MODULUS
+        by, add = by * by % STEP_MODULUS, (add * by + add) % STEP_MODULUS
+        steps >>= 1
+    return (a * state + c) % STEP_MODULUS
+
+
+def stepped(state: int, count: int) -> np.ndarray:
+    """The next `count` states, doubling what is known by one jump over it."""
+    out = np.empty(count, dtype=np.uint64)
+    if count:
+        out[0] = (state * STEP_MULTIPLIER + STEP_INCREMENT) % STEP_MODULUS
+    a, c, known = STEP_MULTIPLIER, STEP_INCREMENT, 1
+    while known < count:
+        more = min(known, count - known)
+        out[known : known + more] = (out[:more] * np.uint64(a) + np.uint64(c)) % np.uint64(STEP_MODULUS)
+        a, c, known = a * a % STEP_MODULUS, (c * a + c) % STEP_MODULUS, known + more
+    return out
+
+
+def bootstrap_points(rows: DataFrame, *, arm: str, point: str, order: str, diff: str, draws: int = 20_000, seed: int = STEP_SEED) -> DataFrame:
+    """(arm, n, mean, low, high, above, below): means of paired differences over points, resampled by point.
+
+    Each point counts once, by the mean of its rows' differences (null ones left out), in the order of the
+    least `order` of its rows.  Draw d of an arm takes numbers d * n to d * n + n - 1 of one generator that
+    begins anew for each arm; blocks of draws jump ahead to theirs, so they run in parallel and equal one walk.
+    low and high are the elements at 2.5 and 97.5 per cent of the sorted means; above and below count the
+    points whose difference is over and under 0.  A task holds the points of one arm, one number each.
+    """
+    per = rows.where(F.col(diff).isNotNull()).groupBy(arm, point).agg(F.avg(F.col(diff).cast("double")).alias("d"), F.min(order).alias("o"))
+    arrays = per.groupBy(arm).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", point, "d"))), lambda x: x["d"]).alias("ds"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(STEP_BLOCK) / F.size("ds"))).cast("int")
+    blocks = arrays.withColumn("each", each).select(arm, "ds", "each", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.col("each"))).alias("first"))
+    kind = dict(per.dtypes)[arm]
+
+    def run(frames):
+        for frame in frames:
+            for name, ds, each, first in frame.itertuples(index=False, name=None):
+                xs = np.asarray(ds, dtype=float)
+                n, count = len(xs), min(each, draws - first)
+                at = stepped(jumped(seed, int(first) * n), count * n).astype(float) / STEP_MODULUS * n
+                drawn = xs[at.astype(np.int64)].reshape(count, n)
+                # summed one after the other, as a walk would
+                yield pd.DataFrame({arm: [name] * count, "m": np.add.accumulate(drawn, axis=1)[:, -1] / n})
+
+    means = blocks.repartition(arm, "first").mapInPandas(run, f"`{arm}` {kind}, m double")
+    rank = F.row_number().over(W.partitionBy(arm).orderBy("m")) - 1
+    ends = means.withColumn("__r", rank).where(F.col("__r").isin(draws // 40, draws - draws // 40)).groupBy(F.col(arm).alias("__arm")).agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    count = lambda c: F.size(F.filter("ds", c)).cast("long")
+    mean = F.aggregate("ds", F.lit(0.0), lambda a, x: a + x) / F.size("ds")
+    sums = arrays.select(arm, F.size("ds").cast("long").alias("n"), mean.alias("mean"), count(lambda x: x > 0).alias("above"), count(lambda x: x < 0).alias("below"))
+    return sums.join(ends, F.col(arm).eqNullSafe(F.col("__arm"))).select(arm, "n", "mean", "low", "high", "above", "below")
+
+
 def bootstrap(diffs: DataFrame, key: str, order: str, value: str, *, draws: int = 10_000, seed: int = 12345, generator=lcg) -> DataFrame:
     """(key, n, low, high): the 2.5 and 97.5 per cent elements of resampled means.
 
