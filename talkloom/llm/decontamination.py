@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from talkloom.llm import shingles
-from talkloom.llm.common import body, cut, free
+from talkloom.llm.common import body, cut, drop_table, free
 
 WINDOW = 10
 #: Words of a block whose shift the tables know.
@@ -145,7 +145,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     Each worker slides the Wu-Manber tables over the words of a whole text: the last block of words under
     the window tells how far it may move; at shift 0 the bucket of that block lists the windows that are
     compared word by word.  One pass over the rows for each block of items, written before the next, so a
-    benchmark of any size is searched completely while tables and broadcasts stay bounded.
+    benchmark of any size is searched completely while tables and broadcasts stay bounded.  A table of an
+    earlier block goes when the next stands, so there are two copies of the rows at most, and one at the end.
 
     Null and empty texts have no words; a text of any length is searched whole by one task.  Items without
     words are never found, items with a null identifier count as hits but are not listed, items that repeat
@@ -159,6 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     schema = rows.schema
     blocks = item_blocks(benchmark, item_id, item_text, item_bytes)
     block, follow = next(blocks, ([], [])), next(blocks, None)
+    standing: DataFrame | None = None
     while block is not None:
         held = spark.sparkContext.broadcast((block[0], tables(block[1], window) if block[1] else []))
 
@@ -189,7 +191,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                     done += len(n)
 
         rows = rows.mapInArrow(scan, schema)
-        rows = rows if follow is None else cut(rows, "contamination")
+        if follow is not None:
+            rows = cut(rows, "contamination")
+            if standing is not None:  # its rows stand in the new table
+                drop_table(standing)
+            standing = rows
         block, follow = follow, next(blocks, None)
     return rows
 

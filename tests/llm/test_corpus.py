@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on real rows and on awkward ones."""
 
 import importlib
+import pathlib
 import random
 import zlib
 
@@ -164,6 +165,17 @@ def test_decontamination_on_awkward_rows(spark, awkward):
     assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, *_ in rows if not expected[i][-1])
 
 
+def test_decontamination_leaves_one_copy(spark):
+    """Six blocks of items: the copy that the result reads stays, those between are gone."""
+    docs = spark.createDataFrame([(i, f"alpha{i} beta gamma") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"alpha{3 * i} beta") for i in range(6)], "item_id long, text string")
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("contamination-*"))
+    got = decontamination.contamination_report(docs, bench, item_bytes=1).collect()
+    assert {r["doc_id"] for r in got if r["contaminated"]} == set(range(0, 18, 3)) and len(got) == 20
+    assert len(set(folder.glob("contamination-*")) - before) == 1
+
+
 def test_decontamination_tables_are_bounded():
     rng = random.Random(2)
     texts = [prose(rng, 300) for _ in range(300)]
