@@ -122,7 +122,7 @@ ORACLE_SQL = {
         WITH {_PARTS},
         t AS (SELECT *, count(*) FILTER (kind = 'prompt') OVER (PARTITION BY conv_id ORDER BY turn) AS no, count(*) FILTER (kind = 'prompt') OVER (PARTITION BY conv_id) AS total FROM h WHERE turn <= half),
         l AS (SELECT conv_id, turn, CASE kind WHEN 'prompt' THEN chr(10) || '### Turn ' || no || ' (' || CASE WHEN no = total THEN 'IN PROGRESS when the context filled' ELSE (total - no) || ' before the cut' END || ')' || chr(10) || 'USER: ' || left(text, 2500)
-                     WHEN 'said' THEN 'AGENT: ' || left(text, 2000) ELSE 'TOOL OUTPUT: ' || left(regexp_replace(text, '\s+', ' ', 'g'), 1500) END AS line FROM t WHERE no > 0 AND (kind = 'prompt' OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')),
+                     WHEN 'said' THEN 'AGENT: ' || left(text, 2000) ELSE 'TOOL OUTPUT: ' || left(regexp_replace(text, '\\s+', ' ', 'g'), 1500) END AS line FROM t WHERE no > 0 AND (kind = 'prompt' OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')),
         j AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS s FROM l GROUP BY conv_id),
         a AS (SELECT conv_id, string_agg(left(text, 1200), chr(10) || '---' || chr(10) ORDER BY turn) AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM h WHERE turn > half AND role = 'user') WHERE k <= 2 GROUP BY conv_id),
         o AS (SELECT conv_id, CASE WHEN length(j.s) > 700 THEN '[earliest turns truncated]' || chr(10) || right(j.s, 700) ELSE j.s END || chr(10) || chr(10)
