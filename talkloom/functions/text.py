@@ -134,16 +134,43 @@ def xml_attribute(text: Column) -> Column:
     return text
 
 
+def to_fixed(x: Column, places: int) -> Column:
+    """A number from 0 to under 1,000 with so many decimals, rounded by its exact value, halves up."""
+    tie = (x * F.lit(2.0 ** (places + 1))) % 2 == 1
+    return F.format_number(F.when(tie, (F.floor(x * F.lit(10.0**places)) + 1) / F.lit(10.0**places)).otherwise(x), places)
+
+
 def token_figure(n: Column) -> Column:
-    """12.3k style: T, B, M or k, one decimal under ten."""
-    out = F.round(n, 0).cast("bigint").cast("string")
+    """12k style: T, B, M or k where at least 1.0 of it is shown, one decimal under ten; smaller numbers as they are."""
+    out = js_round(n).cast("string")
     for size, unit in ((1e3, "k"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
         x = n / F.lit(size)
-        text = F.when((x < 10) & (F.round(x, 1) != F.round(x, 0)), F.format_string("%.1f", F.round(x, 1))).otherwise(F.round(x, 0).cast("bigint").cast("string"))
-        out = F.when(n >= size, F.concat(text, F.lit(unit))).otherwise(out)
+        text = F.when(x < 10, to_fixed(x, 1)).otherwise(js_round(x).cast("string"))
+        out = F.when(x > 0.95, F.concat(text, F.lit(unit))).otherwise(out)
     return out
 
 
+def dollar_figure(amount: Column) -> Column:
+    """$1,234 from a hundred dollars on, $12.34 below."""
+    return F.concat(F.lit("$"), F.when(amount >= 100, F.format_number(js_round(amount), 0)).otherwise(to_fixed(amount, 2)))
+
+
+def percent_figure(share: Column) -> Column:
+    return F.concat(js_round(share * 100).cast("string"), F.lit("%"))
+
+
+def counted(n: Column, noun: str) -> Column:
+    """1 fold, 2 folds."""
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
+def ago_figure(seconds: Column) -> Column:
+    """How long ago: just now, minutes, hours or days."""
+    s = F.greatest(F.lit(0), js_round(seconds))
+    unit = lambda by, name: F.concat(js_round(s / by).cast("string"), F.lit(f"{name} ago"))
+    return F.when(s < 60, "just now").when(s < 3_600, unit(60, "m")).when(s < 86_400, unit(3_600, "h")).otherwise(unit(86_400, "d"))
+
+
 def depth_bucket(ago: Column) -> Column:
     return F.when(ago <= 3, "1-3").when(ago <= 10, "4-10").when(ago <= 30, "11-30").when(ago <= 60, "31-60").otherwise("61+")
 

@@ -15,13 +15,13 @@ from talkloom.operators.walks import walk
 MOST_BUDGETS = 1_000
 
 
-def folded_view(turns: DataFrame, *, thread: str, turn: str, full: Column, short: Column, cap: int) -> DataFrame:
+def folded_view(turns: DataFrame, *, thread: str, turn: str, full: Column, short: Column, cap: int | Column) -> DataFrame:
     """(thread, turn, is_full, text): newest turns in full until the first that would pass the cap, then user text only."""
-    rows = turns.select(thread, turn, full.alias("__full"), short.alias("__short"))
+    rows = turns.select(thread, turn, full.alias("__full"), short.alias("__short"), (F.lit(cap) if isinstance(cap, int) else cap).alias("__cap"))
     newest = W.partitionBy(thread).orderBy(F.desc(turn))
     used = F.sum(F.length("__full")).over(newest.rowsBetween(W.unboundedPreceding, 0))
     # sizes are never negative, so the running sum passes the cap once and stays there
-    is_full = used <= cap
+    is_full = used <= F.col("__cap")
     return rows.select(thread, turn, is_full.alias("is_full"), F.when(is_full, F.col("__full")).otherwise(F.col("__short")).alias("text"))
 
 

@@ -32,9 +32,9 @@ def candidates(catalogue: DataFrame, *, owner: Column, most: int = MOST_CANDIDAT
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def ranked_candidates(prompts: DataFrame, found: DataFrame, *, prompt_id: str, prompt: str) -> DataFrame:
+def ranked_candidates(prompts: DataFrame, found: DataFrame, *, prompt_id: str, prompt: str, min_terms: int = LEAST_TERMS) -> DataFrame:
     """(prompt_id, id, matched, score, rank) by BM25 over outlines, ties by id."""
-    scored = retrieval.bm25(prompts, found, query_id=prompt_id, query_terms=T.terms(F.col(prompt)), doc_key=["id"], doc_terms=T.terms(F.col("outline")), min_terms=LEAST_TERMS)
+    scored = retrieval.bm25(prompts, found, query_id=prompt_id, query_terms=T.terms(F.col(prompt)), doc_key=["id"], doc_terms=T.terms(F.col("outline")), min_terms=min_terms)
     return retrieval.ranked(scored, prompt_id, ["id"])
 
 

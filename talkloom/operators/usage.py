@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
@@ -159,8 +161,11 @@ def thread_peaks(log: DataFrame) -> DataFrame:
     return out.join(hits, "thread", "left").withColumn("compactions", F.coalesce("compactions", F.lit(0)))
 
 
-def savings(log: DataFrame, usage: DataFrame, prices: DataFrame, within_ms: int = 600_000) -> DataFrame:
-    """handled, priced, unsized, unmatched, actual and saved dollars of a request log matched with usage rows."""
+def savings_rows(log: DataFrame, usage: DataFrame, prices: DataFrame, within_ms: int = 600_000) -> DataFrame:
+    """(seq, at, saved_tokens, usage_id, saved, actual) of the requests with input, matched with usage rows: tokens kept out and the dollars they and the request are worth.
+
+    saved and actual are null without a match or a price, saved also without sizes.
+    """
     key = ["k_read", "k_write", "k_input"]
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     left = log.where("input > 0").withColumns({"k_read": n("cacheRead"), "k_write": n("cacheWrite"), "k_input": n("uncached"), "saved_tokens": scaled("charsIn") - F.col("input")})
@@ -168,27 +173,45 @@ def savings(log: DataFrame, usage: DataFrame, prices: DataFrame, within_ms: int
     pairs = nearest(left.select("seq", "at", *key), right.select("usage_id", F.col("at").alias("used_at"), *key), key=key, left_id="seq", right_id="usage_id", left_at="at", right_at="used_at", within=within_ms)
     entry = priced(usage, prices, name="model").drop("at", "pos", "prefix")
     read, write = rates()
-    both = left.select("seq", "saved_tokens", "compacted", "k_write").join(pairs.select("seq", "usage_id"), "seq", "left").join(entry, "usage_id", "left")
+    both = left.select("seq", "at", "saved_tokens", "compacted", "k_write").join(pairs.select("seq", "usage_id"), "seq", "left").join(entry, "usage_id", "left")
     rewrite = F.when(F.coalesce("compacted", F.lit(False)), F.col("k_write") * (write - read)).otherwise(F.lit(0.0))
-    both = both.withColumns({"saved": F.col("saved_tokens") * read - rewrite, "actual": cost()})
+    return both.select("seq", "at", "saved_tokens", "usage_id", (F.col("saved_tokens") * read - rewrite).alias("saved"), cost().alias("actual"))
+
+
+def saving_sums() -> list[Column]:
+    """handled, priced, unsized, unmatched, actual and saved dollars, as aggregates over savings_rows()."""
     ok = F.col("saved").isNotNull() & F.col("actual").isNotNull()
-    return both.agg(
+    return [
         F.count(F.lit(1)).alias("handled"), F.count_if(ok).alias("priced"), F.count_if(F.col("saved_tokens").isNull()).alias("unsized"),
         F.count_if(F.col("saved_tokens").isNotNull() & F.col("usage_id").isNull()).alias("unmatched"),
         F.coalesce(F.sum(F.when(ok, F.col("actual"))), F.lit(0.0)).alias("actual"), F.coalesce(F.sum(F.when(ok, F.col("saved"))), F.lit(0.0)).alias("saved"),
-    )
+    ]
+
+
+def savings(log: DataFrame, usage: DataFrame, prices: DataFrame, within_ms: int = 600_000) -> DataFrame:
+    """handled, priced, unsized, unmatched, actual and saved dollars of a request log matched with usage rows."""
+    return savings_rows(log, usage, prices, within_ms).agg(*saving_sums())
 
 
-def nth_ascending(rows: DataFrame, key: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The element numbered floor(share * n) (from 0) of the ascending values of each group.
+def nth_ascending(rows: DataFrame, key: list[str], value: str, share: float, name: str, *, accuracy: int = 10_000) -> DataFrame:
+    """The element numbered floor(share * n) (from 0) of the ascending numbers of each group.
 
-    Counts per distinct value meet first (map-side), then a running count finds the element, so no group
-    is gathered as a list.
+    A sketch that is merged map-side gives two numbers around the place; a second pass counts what lies at and
+    below them, and only distinct numbers between them, some 1 in `accuracy` / 6 of the rows, are put in order with
+    their counts.  Where the sketch missed the place, that side stays open, so the answer is exact in any case.
+    Null keys are groups, null numbers are left out.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("__n"))
-    order = W.partitionBy(*key).orderBy(value)
-    upto = F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("__n").over(W.partitionBy(*key))
-    place = F.least(F.floor(F.lit(share) * F.col("__total")), F.col("__total") - 1)
-    found = counts.withColumns({"__upto": upto, "__total": total}).where(F.col("__upto") > place)
-    return found.groupBy(*key).agg(F.min(value).alias(name))
+    rows = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("__v"))
+    same = lambda side: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{side}{i}")) for i, k in enumerate(key)])
+    own = lambda side: [F.col(k).alias(f"__{side}{i}") for i, k in enumerate(key)]
+    around = F.percentile_approx("__v", [max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)], accuracy)
+    guess = rows.groupBy(*key).agg(around.alias("__p")).select(*own("g"), F.col("__p")[0].alias("__low"), F.col("__p")[1].alias("__high"))
+    near = rows.join(guess, same("g"))
+    counts = near.groupBy(*key, "__low", "__high").agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__v") < F.col("__low")).alias("__below"), F.count_if(F.col("__v") <= F.col("__high")).alias("__upto"))
+    place = F.least(F.floor(F.lit(share) * F.col("__n")), F.col("__n") - 1)
+    low, high = F.col("__below") <= place, F.col("__upto") > place
+    bounds = counts.select(*own("b"), place.alias("__place"), F.when(low, F.col("__below")).otherwise(0).alias("__before"), F.when(low, F.col("__low")).alias("__from"), F.when(high, F.col("__high")).alias("__to"))
+    inside = (F.col("__from").isNull() | (F.col("__v") >= F.col("__from"))) & (F.col("__to").isNull() | (F.col("__v") <= F.col("__to")))
+    few = rows.join(bounds, same("b")).where(inside).groupBy(*key, "__v", "__place", "__before").agg(F.count(F.lit(1)).alias("__times"))
+    upto = F.col("__before") + F.sum("__times").over(W.partitionBy(*key).orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    return few.withColumn("__at", upto).where(F.col("__at") > F.col("__place")).groupBy(*key).agg(F.min("__v").alias(name))

@@ -113,13 +113,14 @@ def folded_view_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRIM_SQL = "trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
-FOLDED_SQL = f"""
-    WITH {SPLIT_SQL},
+FOLDED_TURNS_SQL = f"""{SPLIT_SQL},
     m AS (SELECT conv_id, turn_no AS turn, turn AS seq, role, {TRIM_SQL.format("text")} AS said FROM s WHERE turn_no > 0),
     f AS (SELECT conv_id, turn, coalesce(string_agg(CASE WHEN role = 'user' AND said <> '' THEN said END, chr(10) || chr(10) ORDER BY seq), '') AS u,
                  coalesce(arg_max(said, seq) FILTER (role = 'assistant'), '') AS r FROM m GROUP BY conv_id, turn),
     v AS (SELECT *, '### Turn ' || turn || chr(10) || chr(10) || '**You:** ' || u AS short FROM f),
-    x AS (SELECT *, short || CASE WHEN r <> '' THEN chr(10) || chr(10) || '**Agent:** ' || r ELSE '' END AS whole FROM v),
+    x AS (SELECT *, short || CASE WHEN r <> '' THEN chr(10) || chr(10) || '**Agent:** ' || r ELSE '' END AS whole FROM v)"""
+FOLDED_SQL = f"""
+    WITH {FOLDED_TURNS_SQL},
     y AS (SELECT *, sum(length(whole)) OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 1500 AS is_full FROM x)
     SELECT conv_id, turn, is_full, sha256(CASE WHEN is_full THEN whole ELSE short END) AS sha FROM y"""
 

@@ -136,11 +136,15 @@ DENSE_SQL = """
 
 
 def _label_list(rows: DataFrame) -> DataFrame:
-    """A second list for fusion: rows of the query's label by distance of identifiers."""
-    near = rows.alias("a").where("a.vec_id % 20 = 0").join(rows.alias("b"), F.col("a.label") == F.col("b.label")).where("a.vec_id <> b.vec_id")
-    order = W.partitionBy("query_id").orderBy("gap", "vec_id")
-    pairs = near.select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"), F.abs(F.col("a.vec_id") - F.col("b.vec_id")).alias("gap"))
-    return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    """A second list for fusion: the ten rows of the query's label with the nearest identifiers.
+
+    They are among its ten neighbours on either side in the order of identifiers, so a frame finds them and no pair is made.
+    """
+    order = W.partitionBy("label").orderBy("vec_id")
+    ids = [F.collect_list("vec_id").over(order.rowsBetween(*frame)) for frame in ((-10, -1), (1, 10))]
+    near = rows.select("vec_id", F.concat(*ids).alias("near")).where("vec_id % 20 = 0")
+    pairs = near.select(F.col("vec_id").alias("query_id"), F.explode("near").alias("vec_id")).withColumn("gap", F.abs(F.col("query_id") - F.col("vec_id")))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("gap", "vec_id"))).where("rank <= 10")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
