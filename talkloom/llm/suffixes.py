@@ -32,6 +32,11 @@ _rng = np.random.Generator(np.random.PCG64(400))
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(0, 1 << 61, dtype=np.uint64)) * 8 + 5
 _powers: dict[int, np.ndarray] = {}
+#: The second hash of a tied window: two polynomials over a prime field with bases of their own.
+PRIME = (1 << 31) - 1
+FIELD_BASES = tuple(int(b) for b in _rng.integers(1 << 20, PRIME - 1, 2))
+_FIELD_BYTE = _rng.permutation(1 << 20)[:256].astype(np.uint64) + np.uint64(1)
+_field_powers: dict[int, np.ndarray] = {}
 
 
 def difference_cover() -> np.ndarray:
@@ -92,6 +97,38 @@ def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def field_powers(base: int) -> np.ndarray:
+    if base not in _field_powers:
+        out = np.ones(SEGMENT + LENGTH + 1, np.uint64)
+        done = 1
+        while done < len(out):
+            more = min(done, len(out) - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(base, done, PRIME)) % np.uint64(PRIME)
+            done += more
+        _field_powers[base] = out
+    return _field_powers[base]
+
+
+def sure_keys(data: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Keys of the LENGTH bytes at sorted positions that stand for their first hash and two more of another kind.
+
+    Different bytes agree in one polynomial over the field for at most LENGTH - 1 of its PRIME bases, whatever they hold.
+    """
+    out, p = first.copy(), np.uint64(PRIME)
+    for low in range(0, len(data), SEGMENT):
+        i, j = np.searchsorted(at, (low, low + SEGMENT))
+        if i == j:
+            continue
+        part = _FIELD_BYTE[data[low : low + SEGMENT + LENGTH]]
+        q = at[i:j] - low
+        run = np.zeros(len(part) + 1, np.uint64)
+        for base in FIELD_BASES:
+            up, down = field_powers(base), field_powers(pow(base, -1, PRIME))
+            np.cumsum(part * up[: len(part)] % p, out=run[1:])  # a segment's sum is below 2 ** 52
+            out[i:j] = mixed(out[i:j] ^ ((run[q + LENGTH] - run[q]) % p * down[q] % p))
+    return out
+
+
 def sample_positions(n: int) -> np.ndarray:
     """Cover positions of a text of n bytes whose ranked part fits."""
     if n < LENGTH:
@@ -186,6 +223,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        Two equal strings of LENGTH bytes have a cover position at one common shift, so both hold a tie.
     3. Only suffixes with a tied sample within PERIOD bytes are still open.  They are keyed by their
        LENGTH bytes and sorted bucket by bucket, in ROUNDS groups of buckets one after another.
+    4. Suffixes that tie in step 3 are few; they meet once more by keys that stand for three hashes of their bytes,
+       two of them over a prime field, so that none goes on one 64-bit hash.
     A block sends each key once, so a string that a third of all texts hold costs a bucket one row per
     block.  A block's keys for one bucket are one row, so the rows sent never outnumber the keys.  Keys are
     64-bit hashes of the bytes; a false tie needs two equal hashes in step 3.
@@ -259,16 +298,30 @@ def _repeated_in(texts: DataFrame, total: int, slim: DataFrame) -> DataFrame:
         open_ = texts.groupBy("block").cogroup(ties.groupBy("block")).applyInArrow(suffixes_of(turn), FRAGMENT)
         found = found.union(cut(repeated(open_).withColumn("kind", F.lit("whole")), f"suffix-found-{turn}"))
 
+    def tied(data: np.ndarray, anchors: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, keys = opened(data, anchors)
+        hit = is_in(keys, whole)
+        return at[hit], sure_keys(data, at[hit], keys[hit])
+
+    def confirm(table: pa.Table, known: pa.Table) -> pa.Table:
+        anchors, whole, hashes = keys_of(known, "sample"), keys_of(known, "whole"), []
+        for text in table.column("text") if table.num_rows and len(whole) else ():
+            hashes.append(tied(np.frombuffer(text.as_py().encode(), np.uint8), anchors, whole)[1])
+        return pa.Table.from_batches([fragments(table.column("block")[0].as_py() if table.num_rows else 0, hashes, buckets)])
+
+    again = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(confirm, FRAGMENT)
+    found = found.union(cut(repeated(again).withColumn("kind", F.lit("sure")), "suffix-sure"))
+
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
-        anchors, whole = keys_of(known, "sample"), keys_of(known, "whole")
+        anchors, whole, sure = (keys_of(known, kind) for kind in ("sample", "whole", "sure"))
         out = []
         for sha, text, copies in zip(table.column("sha").to_pylist(), table.column("text"), table.column("copies").to_pylist(), strict=True):
             raw = text.as_py().encode()
             if copies > 1:
                 out.append((sha, [0], [len(raw)], hashlib.sha256(b"").hexdigest()))
                 continue
-            at, keys = opened(np.frombuffer(raw, np.uint8), anchors)
-            start, end = runs_of(len(raw), at[is_in(keys, whole)])
+            at, keys = tied(np.frombuffer(raw, np.uint8), anchors, whole)
+            start, end = runs_of(len(raw), at[is_in(keys, sure)])
             if len(start):
                 kept = b"".join(raw[i:j] for i, j in zip([0, *end], [*start, len(raw)], strict=True))
                 out.append((sha, start.tolist(), end.tolist(), hashlib.sha256(kept).hexdigest()))

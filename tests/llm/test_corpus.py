@@ -6,6 +6,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,23 @@ def test_quality_awkward(spark, awkward):
     assert quality.good_documents(df, labels).columns == df.columns
 
 
+def test_tied_windows_are_told_apart_by_a_second_kind_of_hash():
+    rng = np.random.default_rng(9)
+    window = rng.integers(0, 256, suffixes.LENGTH, dtype=np.uint8)
+    swapped = window.copy()
+    swapped[[3, 131]] = swapped[[131, 3]]  # what low bits of sums of odd products do not tell
+    at = np.array([7, 900, suffixes.SEGMENT - 100, suffixes.SEGMENT + 5_000])
+    data = rng.integers(0, 256, suffixes.SEGMENT + 9_000, dtype=np.uint8)
+    for place, what in zip(at, (window, swapped, window, window), strict=True):
+        data[place : place + suffixes.LENGTH] = what
+    keys = suffixes.sure_keys(data, at, np.full(len(at), 5, np.uint64))  # as if the first hash were equal for all
+    assert keys[0] == keys[2] == keys[3] != keys[1]
+    assert len(set(suffixes.sure_keys(data, at, np.arange(4, dtype=np.uint64)).tolist())) == 4
+    many = np.sort(rng.choice(len(data) - suffixes.LENGTH, 50_000, replace=False))
+    same = suffixes.sure_keys(data, many, np.zeros(len(many), np.uint64))
+    assert len(np.unique(same)) >= len(many) - 2 * suffixes.LENGTH  # only windows over the planted copies may agree
+
+
 def test_suffixes_match_brute_force(spark, awkward, data):
     rows = [(i, t) for i, t, *_ in awkward[0] if not t or len(t) < 20_000] + [(100 + i, t) for i, t in small(data, 60)]
     rows += [(301, "ab" * 300), (302, "x" * 399), (303, "y" * 400), (304, "z" * 401)]
