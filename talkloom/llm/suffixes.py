@@ -156,12 +156,18 @@ def is_in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-def fragments(block: int, hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """One row per suffix bucket: the block's distinct keys, sorted, and which occur more than once in the block."""
+def coded(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and upper half of each key."""
+    return (values % np.uint64(buckets)) << np.uint64(32) | values >> np.uint64(32)
+
+
+def fragments(block: int, hashes: list[np.ndarray], buckets: int, *, half: bool = False) -> pa.RecordBatch:
+    """One row per suffix bucket: the block's distinct keys, sorted, and which occur more than once in the block; only their upper halves if asked for."""
     values, times = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.empty(0, np.uint64), np.empty(0, int))
     home = (values % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(home, kind="stable")
     values, times, home = values[order], times[order], home[order]
+    values = (values >> np.uint64(32)).astype(np.uint32) if half else values
     names, first = np.unique(home, return_index=True)
     ends = [*first[1:], len(home)][: len(first)]
     rows = [(int(b), block, values[i:j].tobytes(), (times[i:j] > 1).astype(np.uint8).tobytes()) for b, i, j in zip(names, first, ends, strict=True)]
@@ -172,11 +178,14 @@ def fragments(block: int, hashes: list[np.ndarray], buckets: int) -> pa.RecordBa
 FRAGMENT = "bucket long, block long, keys binary, again binary"
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(block, keys): of each block's keys those that occur anywhere else; one suffix bucket is sorted at a time."""
+def repeated(rows: DataFrame, *, half: bool = False) -> DataFrame:
+    """(block, keys): of each block's keys those that occur anywhere else; one suffix bucket is sorted at a time.
+
+    Of upper halves those that occur nowhere else, as coded() keys.
+    """
 
     def sort(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
+        keys = [np.frombuffer(k.as_buffer(), np.uint32 if half else np.uint64) for k in table.column("keys")]
         again = np.concatenate([np.frombuffer(k.as_buffer(), np.uint8) for k in table.column("again")])
         joined = np.concatenate(keys)
         order = np.argsort(joined, kind="stable")
@@ -184,12 +193,13 @@ def repeated(rows: DataFrame) -> DataFrame:
         same = ranked[1:] == ranked[:-1]
         ties = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (again[order] > 0)
         hit = np.empty(len(joined), bool)
-        hit[order] = ties
+        hit[order] = ties ^ half
         at, out = 0, []
         for block, k in zip(table.column("block").to_pylist(), keys, strict=True):
             mine = k[hit[at : at + len(k)]]
             at += len(k)
             if len(mine):
+                mine = np.uint64(table.column("bucket")[0].as_py() << 32) | mine.astype(np.uint64) if half else mine
                 out.append((block, mine.tobytes()))
         columns = list(zip(*out, strict=True)) if out else [[], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["block", "keys"])
@@ -223,8 +233,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        Two equal strings of LENGTH bytes have a cover position at one common shift, so both hold a tie.
     3. Only suffixes with a tied sample within PERIOD bytes are still open.  They are keyed by their
        LENGTH bytes and sorted bucket by bucket, in ROUNDS groups of buckets one after another.
-    4. Suffixes that tie in step 3 are few; they meet once more by keys that stand for three hashes of their bytes,
-       two of them over a prime field, so that none goes on one 64-bit hash.
+    4. Suffixes that tie in step 3 meet once more, in the bucket and by the upper half of a key that stands for three
+       hashes of their bytes, two of them over a prime field.  Those that then stand alone had a false tie and stay.
     A block sends each key once, so a string that a third of all texts hold costs a bucket one row per
     block.  A block's keys for one bucket are one row, so the rows sent never outnumber the keys.  Keys are
     64-bit hashes of the bytes; a false tie needs two equal hashes in step 3.
@@ -301,27 +311,31 @@ def _repeated_in(texts: DataFrame, total: int, slim: DataFrame) -> DataFrame:
     def tied(data: np.ndarray, anchors: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, keys = opened(data, anchors)
         hit = is_in(keys, whole)
-        return at[hit], sure_keys(data, at[hit], keys[hit])
+        return at[hit], keys[hit]
 
     def confirm(table: pa.Table, known: pa.Table) -> pa.Table:
         anchors, whole, hashes = keys_of(known, "sample"), keys_of(known, "whole"), []
         for text in table.column("text") if table.num_rows and len(whole) else ():
-            hashes.append(tied(np.frombuffer(text.as_py().encode(), np.uint8), anchors, whole)[1])
-        return pa.Table.from_batches([fragments(table.column("block")[0].as_py() if table.num_rows else 0, hashes, buckets)])
+            data = np.frombuffer(text.as_py().encode(), np.uint8)
+            hashes.append(sure_keys(data, *tied(data, anchors, whole)))
+        return pa.Table.from_batches([fragments(table.column("block")[0].as_py() if table.num_rows else 0, hashes, buckets, half=True)])
 
-    again = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(confirm, FRAGMENT)
-    found = found.union(cut(repeated(again).withColumn("kind", F.lit("sure")), "suffix-sure"))
+    met = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(confirm, FRAGMENT)
+    found = found.union(cut(repeated(met, half=True).withColumn("kind", F.lit("false")), "suffix-false"))
 
     def remove(table: pa.Table, known: pa.Table) -> pa.Table:
-        anchors, whole, sure = (keys_of(known, kind) for kind in ("sample", "whole", "sure"))
+        anchors, whole, false = (keys_of(known, kind) for kind in ("sample", "whole", "false"))
         out = []
         for sha, text, copies in zip(table.column("sha").to_pylist(), table.column("text"), table.column("copies").to_pylist(), strict=True):
             raw = text.as_py().encode()
             if copies > 1:
                 out.append((sha, [0], [len(raw)], hashlib.sha256(b"").hexdigest()))
                 continue
-            at, keys = tied(np.frombuffer(raw, np.uint8), anchors, whole)
-            start, end = runs_of(len(raw), at[is_in(keys, sure)])
+            data = np.frombuffer(raw, np.uint8)
+            at, keys = tied(data, anchors, whole)
+            if len(false):  # a first hash that different bytes share
+                at = at[~is_in(coded(sure_keys(data, at, keys), buckets), false)]
+            start, end = runs_of(len(raw), at)
             if len(start):
                 kept = b"".join(raw[i:j] for i, j in zip([0, *end], [*start, len(raw)], strict=True))
                 out.append((sha, start.tolist(), end.tolist(), hashlib.sha256(kept).hexdigest()))

@@ -301,6 +301,13 @@ def test_tied_windows_are_told_apart_by_a_second_kind_of_hash():
     assert len(np.unique(same)) >= len(many) - 2 * suffixes.LENGTH  # only windows over the planted copies may agree
 
 
+def test_keys_without_a_second_one_are_false_ties(spark):
+    values = [np.array([5 << 32 | 7, 9 << 32 | 8], np.uint64), np.array([5 << 32 | 7, 3 << 32 | 8, 3 << 32 | 8], np.uint64)]
+    rows = [tuple(r.values()) for block, v in enumerate(values) for r in suffixes.fragments(block, [v], 4, half=True).to_pylist()]
+    found = {(r["block"], v) for r in suffixes.repeated(spark.createDataFrame(rows, suffixes.FRAGMENT), half=True).collect() for v in np.frombuffer(r["keys"], np.uint64).tolist()}
+    assert found == {(0, int(suffixes.coded(values[0][1:], 4)[0]))}  # 5 occurs in both blocks, 3 twice in one
+
+
 def test_suffixes_match_brute_force(spark, awkward, data):
     rows = [(i, t) for i, t, *_ in awkward[0] if not t or len(t) < 20_000] + [(100 + i, t) for i, t in small(data, 60)]
     rows += [(301, "ab" * 300), (302, "x" * 399), (303, "y" * 400), (304, "z" * 401)]
