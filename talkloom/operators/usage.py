@@ -11,6 +11,8 @@ from talkloom.operators.walks import walk
 
 WRITE_5M, WRITE_1H, FAST = 1.25, 2.0, 2.0
 COMPACT_AT, SUMMARY_TOKENS = 0.92, 8_333
+#: Length of the time blocks of nearest(), in tolerances.
+NEAR_BLOCK = 16
 
 
 def best_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -90,14 +92,24 @@ def rates() -> tuple[Column, Column]:
 def nearest(left: DataFrame, right: DataFrame, *, key: list[str], left_id: str, right_id: str, left_at: str, right_at: str, within: int) -> DataFrame:
     """Each left row with the right row of its key nearest in time (epoch units), `within` at most, earliest id on ties.
 
-    Times fall in blocks as long as the tolerance; a left row looks at its own block and both neighbours,
-    so a key with many rows is split by time and no pair beyond the tolerance is far apart.
+    Both sides stand in one order of time, where the last right row before and the first one after a left row
+    are its only candidates; no pair is made.  Times fall in blocks of NEAR_BLOCK tolerances, so a key with many
+    rows is split; right rows near an edge stand in both blocks.  Null keys and times match nothing.
     """
-    block = lambda c: F.floor(F.col(c) / within)
-    near = left.withColumn("__block", F.explode(F.array(block(left_at) - 1, block(left_at), block(left_at) + 1)))
-    there = right.select(*key, right_id, right_at, block(right_at).alias("__block"))
-    met = near.join(there, [*key, "__block"]).withColumn("distance", F.abs(F.col(left_at) - F.col(right_at))).where(F.col("distance") <= within)
-    return best_per_key(met, [left_id], [F.asc("distance"), F.asc(right_id)]).drop("__block")
+    block = lambda c: F.floor(c / (within * NEAR_BLOCK or 1))
+    known = lambda rows, at: rows.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*key, at)]))
+    near = known(left, left_at).select(*key, block(F.col(left_at)).alias("__block"), F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__left"))
+    found = F.struct(F.col(right_id), F.col(right_at)).alias("__right")
+    there = known(right, right_at).select(*key, F.explode(F.sequence(block(F.col(right_at) - within), block(F.col(right_at) + within))).alias("__block"), F.col(right_at).alias("__at"), found)
+    rows = near.unionByName(there, allowMissingColumns=True)
+    # left rows come behind right ones of their time, of which the least id stands last
+    last = lambda time: F.last("__right", ignorenulls=True).over(W.partitionBy(*key, "__block").orderBy(time, F.col("__left").isNotNull(), F.desc(f"__right.{right_id}")).rowsBetween(W.unboundedPreceding, 0))
+    sides = rows.withColumns({"__before": last(F.asc("__at")), "__after": last(F.desc("__at"))}).where(F.col("__left").isNotNull())
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__at") - F.col(c)[right_at]).alias("distance"), F.col(c)[right_id].alias("id"), F.col(c)[right_at].alias("at")))
+    best = sides.withColumn("__best", F.least(away("__before"), away("__after"))).where(F.col("__best.distance") <= within)
+    others = [F.col("__left")[c].alias(c) for c in left.columns if c not in key]
+    met = best.select(*key, *others, F.col("__best.id").alias(right_id), F.col("__best.at").alias(right_at), F.col("__best.distance").alias("distance"))
+    return best_per_key(met, [left_id], [F.asc("distance"), F.asc(right_id)])
 
 
 def filled_buckets(rows: DataFrame, at: str, *, unit: str, first: Column, last: Column, aggregates: list[Column]) -> DataFrame:
