@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Words that are not search terms.
@@ -117,6 +119,11 @@ def normalised(text: Column) -> Column:
     return collapse(F.regexp_replace(bare, r"(\d),(\d{3})", "$1$2"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once for each row, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def key_tokens(text: Column) -> Column:
     """Distinct terms of six characters or with a digit; failing those, of four characters."""
     distinct = F.array_distinct(terms(text))
