@@ -19,7 +19,7 @@ from talkloom.operators import retrieval
 from talkloom.sources.tables import written
 
 #: Bytes of postings that one file should hold, as Catalyst estimates them; and of a first batch's documents for each bucket.
-FILE_BYTES, BUCKET_BYTES = 64 << 20, 1 << 30
+FILE_BYTES, BUCKET_BYTES = 8 << 20, 1 << 30
 #: Buckets of an index whose first batch says nothing else.
 LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
 #: Asked terms up to which they are broadcast and pushed to the scan as bounds.
@@ -106,8 +106,10 @@ def append(docs: DataFrame, path: str, *, key: list[str], terms: Column, batch:
     sized = written(rows.withColumn("len", F.size("terms").cast("long")), "index-terms")
     if sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         raise ValueError("a key occurs twice in one batch")
-    each = sized.select(*key, "len", F.explode("terms").alias("term")).groupBy("term", *key, "len").agg(F.count(F.lit(1)).alias("f"))
-    _put(written(each.select("term", *key, "f", "len"), "index-postings"), sized.select(*key, "len"), path, batch, buckets, [], key)
+    # the terms of a document are counted where it lies
+    each = sized.withColumn("__row", F.monotonically_increasing_id()).select(*key, "len", "__row", F.explode("terms").alias("term"))
+    each = retrieval.counted(each, "__row", term="term", drop=["__row"])
+    _put(written(each.select("term", *key, F.col("f").cast("long").alias("f"), "len"), "index-postings"), sized.select(*key, "len"), path, batch, buckets, [], key)
     return batch
 
 
