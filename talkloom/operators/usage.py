@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators.walks import walk
+from talkloom.sources.tables import written
 
 WRITE_5M, WRITE_1H, FAST = 1.25, 2.0, 2.0
 COMPACT_AT, SUMMARY_TOKENS = 0.92, 8_333
@@ -211,18 +212,20 @@ def nth_ascending(rows: DataFrame, key: list[str], value: str, share: float, nam
     A sketch that is merged map-side gives two numbers around the place; a second pass counts what lies at and
     below them, and only distinct numbers between them, some 1 in `accuracy` / 6 of the rows, are put in order with
     their counts.  Where the sketch missed the place, that side stays open, so the answer is exact in any case.
-    Null keys are groups, null numbers are left out.
+    Null keys are groups, null numbers are left out.  Numbers of each group are written, one row a group, so that
+    their size is known: where groups are few, the rows meet them where they lie and no group is gathered in a task.
     """
     rows = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("__v"))
     same = lambda side: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{side}{i}")) for i, k in enumerate(key)])
     own = lambda side: [F.col(k).alias(f"__{side}{i}") for i, k in enumerate(key)]
     around = F.percentile_approx("__v", [max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)], accuracy)
-    guess = rows.groupBy(*key).agg(around.alias("__p")).select(*own("g"), F.col("__p")[0].alias("__low"), F.col("__p")[1].alias("__high"))
+    guess = written(rows.groupBy(*key).agg(around.alias("__p")).select(*own("g"), F.col("__p")[0].alias("__low"), F.col("__p")[1].alias("__high")), "nth-guess")
     near = rows.join(guess, same("g"))
     counts = near.groupBy(*key, "__low", "__high").agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__v") < F.col("__low")).alias("__below"), F.count_if(F.col("__v") <= F.col("__high")).alias("__upto"))
     place = F.least(F.floor(F.lit(share) * F.col("__n")), F.col("__n") - 1)
     low, high = F.col("__below") <= place, F.col("__upto") > place
     bounds = counts.select(*own("b"), place.alias("__place"), F.when(low, F.col("__below")).otherwise(0).alias("__before"), F.when(low, F.col("__low")).alias("__from"), F.when(high, F.col("__high")).alias("__to"))
+    bounds = written(bounds, "nth-bounds")
     inside = (F.col("__from").isNull() | (F.col("__v") >= F.col("__from"))) & (F.col("__to").isNull() | (F.col("__v") <= F.col("__to")))
     few = rows.join(bounds, same("b")).where(inside).groupBy(*key, "__v", "__place", "__before").agg(F.count(F.lit(1)).alias("__times"))
     upto = F.col("__before") + F.sum("__times").over(W.partitionBy(*key).orderBy("__v").rowsBetween(W.unboundedPreceding, 0))

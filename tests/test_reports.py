@@ -66,6 +66,24 @@ def test_the_nth_number_is_exact(spark):
     assert usage.nth_ascending(rows.where("false"), ["k"], "v", 0.5, "m").count() == 0
 
 
+def test_the_nth_number_needs_no_exchange_of_rows(spark):
+    """Before, with many partitions, all rows of a group were sorted in one task."""
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 9_973).alias("v"))
+    held = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "100k"}  # the rows are larger
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = usage.nth_ascending(rows, ["k"], "v", 0.95, "m")
+        got = {r["k"]: r["m"] for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert got == {k: sorted(i * 7 % 9_973 for i in range(k, 20_000, 3))[int(0.95 * len(range(k, 20_000, 3)))] for k in range(3)}
+
+
 def test_marks_resolve_once(spark):
     found = spark.createDataFrame([("abcdefgh-1", "one"), ("abcdefgh-2", None), ("abcdefgh-2", "two"), ("zzzzzzzz", ""), ("short", "s"), ("me-myself-1", "me"), ("me-myself-2", "other")], "id string, label string")
     say = lambda p: f"go on {{continue:{p}}}"
