@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from talkloom.functions import text as T
+from talkloom.sources.tables import written
 
 # Framings that mark a value as superseded, before and after it.
 SUPERSEDED_BEFORE = r"(?:old|older|previous|former|earlier|replac\w*|instead of|rather than|no longer|not|n.t|over|from|was|were|used to|superseded|dropped|rejected|ruled out|than)\W*(?:\w+\W+){0,4}$"
@@ -18,6 +19,9 @@ SUPERSEDED_AFTER = r"^\W*(?:\w+\W+){0,3}?(?:is|was|has been|got)?\W*(?:no longer
 NOT_SAID = r"^(unknown|i don.?t know|not sure|n/a|none)\.?$"
 HEDGED = r"unknown|don.?t know|not (?:sure|in (?:my )?context)|can.?t (?:find|tell)|no record"
 
+#: Rows of owners and items that one task puts in order.
+ITEM_ROWS = 1_000_000
+
 
 def arm_matrix(scores: DataFrame, *, unit: str, arm: str, value: str, least: int = 3) -> DataFrame:
     """(a, b, n, mean): mean difference of every arm from every other over the units that have both, arms of `least` units and more.
@@ -205,13 +209,22 @@ def utility(rows: DataFrame, key: list[str], result: str = "outcome") -> DataFra
 
 
 def shared_items(sets: DataFrame, *, group: str, owner: str, item: str, most: float = 0.5, from_owners: int = 4) -> DataFrame:
-    """(group, a, b, shared): common items of two owners, without items that more than `most` of a group's owners have (from 4 owners on)."""
-    rows = sets.select(group, owner, item).distinct()
-    owners = rows.groupBy(group).agg(F.count_distinct(owner).alias("__n"))
-    spread = rows.groupBy(group, item).agg(F.count(F.lit(1)).alias("__k")).join(owners, group)
-    useful = spread.where((F.col("__n") < from_owners) | (F.col("__k") <= F.col("__n") * most)).select(group, item)
-    left = rows.join(useful, [group, item])
-    return left.withColumnRenamed(owner, "a").join(left.withColumnRenamed(owner, "b"), [group, item]).where("a < b").groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    """(group, a, b, shared): common items of two owners, without items that more than `most` of a group's owners have (from 4 owners on).
+
+    A first pass counts owners and rows of each group.  Rows are then exchanged once, by item, in as many partitions
+    as their number asks for; an owner meets the later ones of its item in the order of owners, so nothing is joined with itself.
+    """
+    per = sets.groupBy(group, owner).agg(F.count(F.lit(1)).alias("__rows")).groupBy(group).agg(F.count(owner).alias("__n"), F.sum("__rows").alias("__rows"))
+    owners = written(per, "shared-owners")
+    tasks = -(-int(owners.agg(F.sum("__rows")).first()[0] or 0) // ITEM_ROWS)
+    rows = sets.select(group, owner, item).where(F.col(item).isNotNull()).join(owners.drop("__rows"), group)
+    rows = rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), group, item).distinct()
+    order = W.partitionBy(group, item).orderBy(owner)
+    held = rows.withColumn("__k", F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    useful = held.where(((F.col("__n") < from_owners) | (F.col("__k") <= F.col("__n") * most)) & F.col(owner).isNotNull())
+    later = useful.withColumn("__later", F.collect_list(owner).over(order.rowsBetween(1, W.unboundedFollowing)))
+    pairs = later.select(group, F.col(owner).alias("a"), F.explode("__later").alias("b"))
+    return pairs.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def balanced_object(text: str) -> str | None:

@@ -140,7 +140,7 @@ def range_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts two suppliers of a nation have in common, without parts that more than half of the nation's suppliers have."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     owned = lines.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     pairs = evals.shared_items(owned, group="s_nationkey", owner="l_suppkey", item="l_partkey")
     return pairs.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum("shared").alias("shared"), F.max("shared").alias("most"))

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -179,6 +180,29 @@ def test_floor_elements(spark):
     assert {r["k"]: r["m"] for r in usage.nth_ascending(rows, ["k"], "v", 0.95, "m").collect()} == {"a": 4, "b": 5}
 
 
+def test_shared_items_meet_in_one_exchange(spark, monkeypatch):
+    """Before, the number of tasks did not follow the rows, the items of a group met its owners in one task, and rows were joined with themselves."""
+    rng = random.Random(4)
+    sets = [(g, rng.choice([None, *range(g * 3 + 1)]), rng.choice([None, *range(6)])) for g in range(4) for _ in range(60)]
+    sets += [(None, 1, 1), (None, 2, 1), *((9, owner, item) for owner in range(300) for item in (owner % 7, 100 + owner % 2, 200)), *((9, owner, 300) for owner in range(150))]
+    rows = spark.createDataFrame(sets * 2, "g long, o long, i long").repartition(3)
+    monkeypatch.setattr(evals, "ITEM_ROWS", 200, raising=False)
+    want = Counter()
+    for g in {g for g, _, _ in sets if g is not None}:
+        n = len({o for h, o, _ in sets if h == g and o is not None})
+        for i in {i for h, _, i in sets if h == g and i is not None}:
+            have = {o for h, o, j in sets if (h, j) == (g, i)}  # a missing owner counts as one that has the item, but meets nobody
+            if n < 4 or len(have) <= n * 0.5:
+                want.update((g, a, b) for a in have for b in have if a is not None and b is not None and a < b)
+    found = evals.shared_items(rows, group="g", owner="o", item="i")
+    assert {(r["g"], r["a"], r["b"]): r["shared"] for r in found.collect()} == want
+    assert want[9, 0, 14] == 3 and want[9, 0, 1] == 1  # item 200 is everyone's
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(g#\d+L, i#\d+L, (\d+)\)", plan.partition("Initial Plan")[2])
+    assert dealt == [str(-(-len(sets) * 2 // 200))]
+    assert evals.shared_items(rows.where("false"), group="g", owner="o", item="i").count() == 0
+
+
 def test_verdicts(spark):
     cases = [
         ("tool_value", "4,200", "", "It is 4200.", "correct"), ("revised", "blue", "red", "It was red before, now blue", "correct"), ("revised", "blue", "red", "use red, or blue", "wrong"),
