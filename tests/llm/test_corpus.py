@@ -316,6 +316,26 @@ def test_suffixes_match_brute_force(spark, awkward, data):
     assert {r["doc_id"]: tuple(r)[1:5] for r in got if r["doc_id"] != 5} == {x[0]: x[1:] for x in brute.suffixes(rows) if x[0] != 5}
 
 
+def test_planted_passages_go_from_400_bytes_on(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
+    passages = [text(n) for n in range(51, 91)] + [text(90)[:n] for n in (398, 399, 400, 401)]
+    rows, want = [], {}
+    for passage in passages:
+        for side in "AB":  # neighbours differ, so a pair shares the passage and no byte more
+            before, after = text(rng.randint(5, 120)) + side, side + text(rng.randint(5, 120))
+            gone = len(passage) >= 400
+            rows.append((len(rows), before + passage + after))
+            want[rows[-1][0]] = (len(rows[-1][1]), len(passage) * gone, int(gone), brute.sha(before + after if gone else rows[-1][1]))
+        rows.append((len(rows), text(200)))  # a clean row
+        want[rows[-1][0]] = (len(rows[-1][1]), 0, 0, brute.sha(rows[-1][1]))
+    assert all(len(p.split()) > 50 for p in passages) and 10 < sum(len(p) >= 400 for p in passages) < len(passages) - 10
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_suffixes(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r["doc_id"]: tuple(r)[1:5] for r in got.collect()} == want
+
+
 def test_difference_cover():
     cover = suffixes.COVER
     assert {(a - b) % suffixes.PERIOD for a in cover for b in cover} == set(range(suffixes.PERIOD)) and len(cover) == suffixes.ORDER + 1
